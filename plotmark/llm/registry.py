@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from plotmark.llm import exact_dedup, pii
+from plotmark.llm import bpe, exact_dedup, packing, pii
 
 
 def queries() -> dict:
     return {
+        "op3_packing": packing.op3_packing,
+        "op6_bpe": bpe.op6_bpe,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_pii": pii.op10_pii,
     }
