@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from plotmark.llm import bpe, exact_dedup, packing, pii
+from plotmark.llm import bpe, exact_dedup, licenses, ngram_join, packing, pii
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_join": ngram_join.op1_ngram_join,
+        "op2_licenses": licenses.op2_licenses,
         "op3_packing": packing.op3_packing,
         "op6_bpe": bpe.op6_bpe,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
@@ -15,4 +17,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exact_dedup.OP9_SQL}
+    return {
+        "op2_licenses": licenses.OP2_SQL,
+        "op9_exact_dedup": exact_dedup.OP9_SQL,
+    }
