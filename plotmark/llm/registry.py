@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plotmark.llm import bpe, exact_dedup, licenses, ngram_join, packing, pii
+from plotmark.llm import bpe, exact_dedup, licenses, line_dedup, ngram_join, packing, pii
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_ngram_join": ngram_join.op1_ngram_join,
         "op2_licenses": licenses.op2_licenses,
         "op3_packing": packing.op3_packing,
+        "op4_line_dedup": line_dedup.op4_line_dedup,
         "op6_bpe": bpe.op6_bpe,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_pii": pii.op10_pii,
@@ -19,5 +20,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_licenses": licenses.OP2_SQL,
+        "op4_line_dedup": line_dedup.OP4_SQL,
         "op9_exact_dedup": exact_dedup.OP9_SQL,
     }
