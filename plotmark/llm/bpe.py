@@ -8,64 +8,68 @@ encoded once, and the ids joined.
 from __future__ import annotations
 
 import base64
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotmark.llm.common import docs_of, list_column
 
 _RUNS = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-CACHE_WORDS = 300_000  # words that a worker keeps before it begins afresh
+#: White space (and NUL) besides single spaces and newlines, some of which engines class differently.
+_ODD = r"[\x00\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+_IRREGULAR = _ODD + r"|[ \n][ \n]"
+_WIDE = r"[^\x00-\x{ff}]"
+CACHE_WORDS = 400_000  # words that a worker keeps before it begins afresh
 JOINED, JOIN_CHARS = 200, 64  # new words that are encoded as one text, and the longest of them
-BATCH_CHARS = 2_000_000  # characters of texts that are encoded together
+BATCH_BYTES = 8_000_000  # of texts that are encoded together
 
 
-def text_batches(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of ``texts`` of about ``BATCH_CHARS`` characters, so that memory follows the longest text."""
-    first, chars = 0, 0
-    for i, t in enumerate(texts):
-        chars += len(t)
-        if chars >= BATCH_CHARS:
-            yield first, i + 1
-            first, chars = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
-
-
-def plain(text: str) -> bool:
-    """Whether single spaces and newlines between words are the text's only white space (and it has no NUL)."""
-    return " ".join(text.split()) == text.replace("\n", " ") and "\0" not in text
+def text_batches(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of ``texts`` of about ``BATCH_BYTES``, so that memory follows the longest text."""
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // BATCH_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
+    return ((a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b)
 
 
 def words_of(text: str) -> list[str]:
     """``text`` cut before each run of white space that follows something else; uncut if it has white space of a kind
     that engines may class differently."""
-    if plain(text):
-        return text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0") if text else []
     common = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-    if " ".join(common.split()) == " ".join(filter(None, common.split(" "))) and "\0" not in text:
-        return _RUNS.findall(text)
-    return [text]
-
-
-def bare_words_of(text: str) -> list[str]:
-    """As ``words_of``, for tokenizers that drop white space."""
-    return text.split() if plain(text) else words_of(text)
+    return _RUNS.findall(text) if " ".join(common.split()) == " ".join(filter(None, common.split(" "))) else [text]
 
 
 class WordEncoder:
     """Encodes texts by way of their distinct words, whose ids (and offsets) are held in flat arrays."""
 
     def __init__(self, tokenizer, offsets: bool = False, bare: bool = False) -> None:
+        if offsets and bare:
+            raise ValueError("offsets are of texts as they are")
         self.tokenizer, self.offsets = tokenizer, offsets
-        self.cut, self.between = (bare_words_of, " ") if bare else (words_of, "")
+        self.between = " " if bare else ""
         self._forget()
 
+    def _cut(self, texts: pa.Array) -> pa.ListArray:
+        """The words of each text, in Arrow; where white space is dropped, so are case and spaces (only Latin-1 is
+        lower-cased here, for which all engines agree)."""
+        if self.between:
+            odd = pc.match_substring_regex(texts, _ODD)
+            lower = pc.if_else(pc.match_substring_regex(texts, _WIDE), texts, pc.utf8_lower(texts))
+            words = pc.split_pattern(pc.replace_substring(lower, "\n", " "), " ")
+        else:
+            odd = pc.match_substring_regex(texts, _IRREGULAR)
+            words = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, "\n", "\0\n"), " ", "\0 "), "\0")
+        if not pc.any(odd).as_py():
+            return words
+        own = zip(odd.to_pylist(), texts.to_pylist(), words.to_pylist(), strict=True)
+        return pa.array([words_of(t) if o else w for o, t, w in own], type=pa.list_(pa.string()))
+
     def _forget(self) -> None:
         self.index: dict[str, int] = {}
         self.counts, self.ids, self.spans = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros((0, 2), np.int32)
@@ -74,11 +78,35 @@ class WordEncoder:
         got = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=np.int32) for e in got], [np.array(e.offsets, dtype=np.int32).reshape(-1, 2) for e in got]
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
+        """Take in new words. Where white space is dropped, letters before a full stop or comma are encoded without it."""
+        stopped = [w for w in words if w.endswith((".", ",")) and w[:-1].isalpha()] if self.between else []
+        if not stopped:
+            return self._learn_whole(list(words))
+        stems = [w[:-1] for w in stopped]
+        self._learn_whole(list(words.difference(stopped).union(stems, ".,").difference(self.index)))
+        for mark in ".,":
+            some = [(w, self.index[s]) for w, s in zip(stopped, stems, strict=True) if w[-1] == mark]
+            stem = np.array([i for _, i in some], dtype=np.int64)
+            own = self._ids_at(self.index[mark])
+            counts = self.counts[stem]
+            where = np.repeat(self._starts()[stem] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            ids = np.insert(self.ids[where], np.repeat(np.cumsum(counts), len(own)), np.tile(own, len(some)))
+            self.index.update(zip([w for w, _ in some], range(len(self.counts), len(self.counts) + len(some)), strict=True))
+            self.counts, self.ids = np.concatenate([self.counts, counts + np.int32(len(own))]), np.concatenate([self.ids, ids])
+
+    def _starts(self) -> np.ndarray:
+        return np.cumsum(self.counts, dtype=np.int64) - self.counts
+
+    def _ids_at(self, i: int) -> np.ndarray:
+        start = int(self.counts[:i].sum())
+        return self.ids[start : start + int(self.counts[i])]
+
+    def _learn_whole(self, words: list[str]) -> None:
         """Take in new words. Those that begin a match wherever they stand are joined and encoded many at once."""
         joins, apart = [], []
         for w in words:
-            (joins if len(w) <= JOIN_CHARS and (self.between or w[0] in " \n") and w.strip() else apart).append(w)
+            (joins if len(w) <= JOIN_CHARS and w.strip() and (self.between or w[0] in " \n") else apart).append(w)
         parts = [joins[i : i + JOINED] for i in range(0, len(joins), JOINED)]
         ids, spans = self._encoded([self.between.join(p) for p in parts])
         counts = []
@@ -95,24 +123,26 @@ class WordEncoder:
         if self.offsets:
             self.spans = np.concatenate([self.spans, *spans, *more_spans])
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         """(ids of all texts, how many each text has, offsets or None); offsets are pairs of code points, start and end."""
-        cut = [self.cut(t) for t in texts]
-        words = [w for ws in cut for w in ws]
+        words = self._cut(texts)
+        found = words.flatten().dictionary_encode()
+        distinct = found.dictionary.to_pylist()
         if len(self.index) > CACHE_WORDS or len(self.ids) > 8 * CACHE_WORDS:
             self._forget()
-        self._learn(list(set(words).difference(self.index)))
-        at = np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
+        self._learn(set(distinct).difference(self.index))
+        at = np.array([self.index[w] for w in distinct], dtype=np.int64)[found.indices.to_numpy()]
+        per_words = pc.list_value_length(words).to_numpy(zero_copy_only=False)
         counts = self.counts[at]
         first = np.cumsum(counts, dtype=np.int64) - counts  # of each word's ids in the result
-        where = np.repeat((np.cumsum(self.counts, dtype=np.int64) - self.counts)[at] - first, counts) + np.arange(counts.sum())
-        of = np.repeat(np.arange(len(cut)), [len(ws) for ws in cut])
-        per_text = np.bincount(of, weights=counts, minlength=len(cut)).astype(np.int64)
+        where = np.repeat(self._starts()[at] - first, counts) + np.arange(counts.sum())
+        of = np.repeat(np.arange(len(texts)), per_words)
+        per_text = np.bincount(of, weights=counts, minlength=len(texts)).astype(np.int64)
         if not self.offsets:
             return self.ids[where], per_text, None
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        chars = np.bincount(of, weights=lengths, minlength=len(cut)).astype(np.int64)
-        begins = np.cumsum(lengths) - lengths - np.repeat(np.cumsum(chars) - chars, [len(ws) for ws in cut])
+        lengths = pc.utf8_length(found.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)[found.indices.to_numpy()]
+        chars = np.bincount(of, weights=lengths, minlength=len(texts)).astype(np.int64)
+        begins = np.cumsum(lengths) - lengths - np.repeat(np.cumsum(chars) - chars, per_words)
         return self.ids[where], per_text, self.spans[where] + np.repeat(begins, counts)[:, None].astype(np.int32)
 
 
@@ -133,6 +163,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def byte_tokenizer(path: str, pattern: str):
     """A tokenizers.Tokenizer that gives the ids of the ranks in ``path``: a word that is itself a token takes its
     id, else the adjacent pair whose joined bytes have the lowest rank is merged first."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
     from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
     ranks, chars = read_ranks(path), byte_chars()
@@ -150,14 +181,16 @@ def byte_tokenizer(path: str, pattern: str):
 
 
 @lru_cache(maxsize=2)
-def byte_table(path: str, pattern: str) -> list[bytes | None]:
-    """The bytes of each id, by reversing the characters of the tokenizer's vocabulary."""
-    back = {c: i for i, c in enumerate(byte_chars())}
-    vocab = byte_tokenizer(path, pattern).get_vocab()
-    table: list[bytes | None] = [None] * (max(vocab.values(), default=-1) + 1)
-    for token, i in vocab.items():
-        table[i] = bytes(back[c] for c in token)
-    return table
+def byte_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each id its number of bytes (-1 if there is no such id), where they start, and all bytes; they come from
+    reversing the characters that stand for bytes in the vocabulary."""
+    chars = byte_chars()
+    back = {c: i for i, c in enumerate(chars)}
+    shown = {i: "".join(chars[x] for x in b) for b, i in read_ranks(path).items()}
+    own = [bytes(back[c] for c in shown[i]) if i in shown else None for i in range(max(shown, default=-1) + 1)]
+    sizes = np.array([-1 if b is None else len(b) for b in own], dtype=np.int64)
+    held = np.maximum(sizes, 0)
+    return sizes, np.cumsum(held) - held, np.frombuffer(b"".join(filter(None, own)), dtype=np.uint8)
 
 
 def encode_bytes(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,9 +204,8 @@ def encode_bytes(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(byte_tokenizer(path, pattern), offsets=True)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for i, j in text_batches(texts):
-                ids, counts, spans = encoder.encode(texts[i:j])
+            for i, j in text_batches(b.column(1)):
+                ids, counts, spans = encoder.encode(b.column(1).slice(i, j - i))
                 lists = [list_column(x, counts, pa.int32()) for x in (ids, spans[:, 0], spans[:, 1])]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *lists], ["doc_id", "ids", "starts", "ends"])
 
@@ -182,26 +214,35 @@ def encode_bytes(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     return rows.mapInArrow(encode, f"doc_id {kind}, ids array<int>, starts array<int>, ends array<int>")
 
 
-def decode_ids(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Per row: doc_id, n_tokens, ids, bytes (null where an id is unknown or null) and text, the bytes as UTF-8 with
+def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """Per row: doc_id, ids, bytes (null where an id is unknown or null), n_tokens and text, the bytes as UTF-8 with
     U+FFFD for what is cut inside a character. Null ids count as none."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = byte_table(path, pattern)
-        known = frozenset(i for i, b in enumerate(table) if b is not None)
-        for b in batches:
-            data = []
-            for ids in b.column(1).to_pylist():
-                data.append(b"".join([table[i] for i in ids]) if known.issuperset(ids) else None)
-            text = [None if x is None else x.decode("utf-8", "replace") for x in data]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(data, type=pa.binary()), pa.array(text, type=pa.string())], ["doc_id", "ids", "bytes", "text"]
-            )
+        sizes, starts, table = byte_table(path)
+        for batch in batches:
+            for b in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                lists = b.column(1)
+                ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+                per_row = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+                of = np.repeat(np.arange(len(per_row)), per_row)
+                unknown = (ids < 0) | (ids >= len(sizes))
+                ids = np.where(unknown, 0, ids)
+                unknown |= sizes[ids] < 0
+                counts = np.where(unknown, 0, sizes[ids])
+                where = np.repeat(starts[ids] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+                ends = np.cumsum(np.bincount(of, weights=counts, minlength=len(per_row)).astype(np.int64))
+                offsets = np.concatenate([[0], ends]).astype(np.int32)
+                data = pa.Array.from_buffers(pa.binary(), len(per_row), [None, pa.py_buffer(offsets), pa.py_buffer(table[where])])
+                bad = np.bincount(of, weights=unknown, minlength=len(per_row)) > 0
+                if bad.any():
+                    data = pc.if_else(pa.array(bad), pa.scalar(None, pa.binary()), data)
+                yield pa.RecordBatch.from_arrays([b.column(0), lists, data], ["doc_id", "ids", "bytes"])
 
     rows = encoded.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(decode, f"doc_id {kind}, ids array<int>, bytes binary, text string")
-    return out.withColumn("n_tokens", F.size("ids").cast("long"))
+    out = rows.mapInArrow(decode, f"doc_id {kind}, ids array<int>, bytes binary")
+    return out.withColumns({"n_tokens": F.size("ids").cast("long"), "text": F.make_valid_utf8(F.col("bytes").cast("string"))})
 
 
 def public_vocabulary(name: str) -> str:
@@ -214,6 +255,6 @@ def op6_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    got = decode_ids(encode_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, pattern), path, pattern)
+    got = decode_ids(encode_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, pattern), path)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return got.select("doc_id", "n_tokens", F.sha2(joined, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))

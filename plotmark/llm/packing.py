@@ -3,6 +3,7 @@ with knapsack pricing, then rounded; what rounding leaves goes by best fit, long
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,11 +19,12 @@ from plotmark.llm.common import docs_of, materialise
 
 CAPACITY = 2048
 ROUNDS = 400  # of multiplicative weights
-RUN = 5_000  # about so many pieces of one length are ranked together
+RUN = 1_000  # about so many pieces of one length are ranked together
 
 
 @lru_cache(maxsize=2)
 def _word_tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -38,9 +40,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: s
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(_word_tokenizer(path), bare=True)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for i, j in text_batches(texts):
-                ids, counts, _ = encoder.encode(texts[i:j])
+            for i, j in text_batches(b.column(1)):
+                ids, counts, _ = encoder.encode(b.column(1).slice(i, j - i))
                 ends = np.cumsum(counts)
                 rows, pieces, starts, lengths, sums = [], [], [], [], []
                 for k, (lo, hi) in enumerate(zip((ends - counts).tolist(), ends.tolist(), strict=True)):
