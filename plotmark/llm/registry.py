@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plotmark.llm import bpe, exact_dedup, licenses, line_dedup, ngram_join, packing, pii
+from plotmark.llm import ann, bpe, exact_dedup, language_id, licenses, line_dedup, ngram_join, packing, pii
 
 
 def queries() -> dict:
@@ -11,7 +11,9 @@ def queries() -> dict:
         "op2_licenses": licenses.op2_licenses,
         "op3_packing": packing.op3_packing,
         "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op5_language_id": language_id.op5_language_id,
         "op6_bpe": bpe.op6_bpe,
+        "op7_ann": ann.op7_ann,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_pii": pii.op10_pii,
     }
