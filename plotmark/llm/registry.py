@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from plotmark.llm import ann, bpe, exact_dedup, language_id, licenses, line_dedup, ngram_join, packing, pii
+import corpus_pipeline
+from plotmark.llm import ann, bpe, exact_dedup, html_text, language_id, licenses, line_dedup, ngram_join, packing, pii
 
 
 def queries() -> dict:
@@ -14,8 +15,10 @@ def queries() -> dict:
         "op5_language_id": language_id.op5_language_id,
         "op6_bpe": bpe.op6_bpe,
         "op7_ann": ann.op7_ann,
+        "op8_html_text": html_text.op8_html_text,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_pii": pii.op10_pii,
+        "pipeline": corpus_pipeline.run,
     }
 
 
