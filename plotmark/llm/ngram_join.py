@@ -219,7 +219,7 @@ def ngram_join(
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("shingles") / BLOCK_SHINGLES))
     total = inside.groupBy("cluster").agg(parts.cast("int").alias("parts"))
     placed = inside.join(total, "cluster").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    texts = docs_of(docs, id_col, text_col).withColumnRenamed("doc_id", "rep").join(placed, "rep")
+    texts = docs_of(docs, id_col, text_col).withColumnRenamed("doc_id", "rep").join(placed.hint("merge"), "rep")
     blocks = texts.select("cluster", "rep", "part", "parts", "size", word_hashes(F.col("text")).alias("words"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     blocks = blocks.select(F.xxhash64("cluster", F.least("part", "other"), F.greatest("part", "other")).alias("block"), (F.col("part") == F.col("other")).alias("same"), "rep", "part", "size", "words")
     blocks = blocks.repartition("block").sortWithinPartitions("block")
