@@ -1 +1 @@
-
+"""Batch operators, each from DataFrames to DataFrames."""

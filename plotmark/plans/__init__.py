@@ -1 +1 @@
-
+"""Queries over the given tables and the SQL they must agree with."""

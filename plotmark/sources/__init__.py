@@ -1 +1 @@
-
+"""Readers, writers and names of stored tables."""

@@ -1 +1 @@
-
+"""Continuous jobs."""
