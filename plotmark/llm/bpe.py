@@ -26,14 +26,14 @@ _RUNS = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 _ODD = r"[\x00\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 _IRREGULAR = _ODD + r"|[ \n][ \n]"
 _WIDE = r"[^\x00-\x{ff}]"
-CACHE_WORDS = 400_000  # words that a worker keeps before it begins afresh
+CACHE_WORDS, CACHE_OFFSETS = 400_000, 120_000  # words that a worker keeps before it begins afresh, without and with offsets
 JOINED, JOIN_CHARS = 200, 64  # new words that are encoded as one text, and the longest of them
-BATCH_BYTES = 8_000_000  # of texts that are encoded together
+BATCH_BYTES, BATCH_OFFSETS = 8_000_000, 1_500_000  # of texts that are encoded together, without and with offsets
 
 
-def text_batches(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of ``texts`` of about ``BATCH_BYTES``, so that memory follows the longest text."""
-    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // BATCH_BYTES
+def text_batches(texts: pa.Array, size: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of ``texts`` of about ``size`` bytes, so that memory follows the longest text."""
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // size
     cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
     return ((a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b)
 
@@ -128,7 +128,8 @@ class WordEncoder:
         words = self._cut(texts)
         found = words.flatten().dictionary_encode()
         distinct = found.dictionary.to_pylist()
-        if len(self.index) > CACHE_WORDS or len(self.ids) > 8 * CACHE_WORDS:
+        most = CACHE_OFFSETS if self.offsets else CACHE_WORDS
+        if len(self.index) > most or len(self.ids) > 8 * most:
             self._forget()
         self._learn(set(distinct).difference(self.index))
         at = np.array([self.index[w] for w in distinct], dtype=np.int64)[found.indices.to_numpy()]
@@ -204,7 +205,7 @@ def encode_bytes(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(byte_tokenizer(path, pattern), offsets=True)
         for b in batches:
-            for i, j in text_batches(b.column(1)):
+            for i, j in text_batches(b.column(1), BATCH_OFFSETS):
                 ids, counts, spans = encoder.encode(b.column(1).slice(i, j - i))
                 lists = [list_column(x, counts, pa.int32()) for x in (ids, spans[:, 0], spans[:, 1])]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *lists], ["doc_id", "ids", "starts", "ends"])
