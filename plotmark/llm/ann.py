@@ -77,10 +77,12 @@ def _best(query: np.ndarray, other: np.ndarray, score: np.ndarray, k: int) -> np
     return order[place < k]
 
 
-def _compare(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of queries, id, score) of the ``k`` best pairs of each query; products are summed alike for alike vectors."""
+def _compare(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | float = -np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of queries, id, score) of the ``k`` best pairs of each query that reach its ``floor``; products are summed
+    alike for alike vectors."""
     near = queries @ vectors.T
     least = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else near.min(axis=1)
+    least = np.maximum(least, floor)
     q, v = np.nonzero(near >= (least - 1e-9 * (1 + np.abs(least)))[:, None])
     score = np.concatenate([(queries[q[i : i + 65536]] * vectors[v[i : i + 65536]]).sum(axis=1) for i in range(0, len(q), 65536)]) if len(q) else np.zeros(0)
     kept = _best(q, ids[v], score, k)
@@ -103,7 +105,8 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col
     a sample of ``SAMPLE`` queries needs to find ``recall`` of their true neighbours (found by brute force, against
     all rows). The number of hashes grows with the rows. Of rows with the same vector only the ``k`` + 1 of the
     smallest ids can be among anyone's nearest, so no more are hashed, and equal queries search once: results
-    stay whole. Buckets of more than ``BLOCK`` vectors are split, and tasks keep the best of each query.
+    stay whole. Buckets of more than ``BLOCK`` vectors are split, and tasks keep the best of each query, of later buckets
+    only what reaches the query's best so far.
 
     Defined cases: null ids, and vectors that are null, zero, of another length than most, or hold a null or
     non-finite component take no part, as query or candidate; with fewer than ``k`` candidates all that are found
@@ -143,27 +146,28 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col
             at = pa.array(np.repeat(np.arange(b.num_rows), TABLES))
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), b.column(0).take(at), b.column(1).take(at)], ["bucket", "vec_id", "vector"])
 
-    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, norm = shared.value
-        for batch in batches:
-            for b in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
-                cells = hashes.cells(_lifted(_matrix(b.column(1), d), norm, True))
-                steps, order = hashes.order(cells)
-                probed = np.floor(cells)[:, :, None, :] + steps[order[:, :, : hashes.probes]]
-                n = probed.shape[2]
-                keys = hashes.keys(probed.transpose(0, 2, 1, 3).reshape(-1, *cells.shape[1:]))
-                at = pa.array(np.repeat(np.arange(b.num_rows), n * TABLES))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), b.column(0).take(at), b.column(1).take(at)], ["bucket", "vec_id", "vector"])
+    def visits(first: int, last: int):
+        """The buckets that a query visits from its ``first`` up to its ``last``."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes, norm = shared.value
+            for batch in batches:
+                for b in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
+                    cells = hashes.cells(_lifted(_matrix(b.column(1), d), norm, True))
+                    steps, order = hashes.order(cells)
+                    probed = np.floor(cells)[:, :, None, :] + steps[order[:, :, first:last]]
+                    keys = hashes.keys(probed.transpose(0, 2, 1, 3).reshape(-1, *cells.shape[1:]))
+                    at = pa.array(np.repeat(np.arange(b.num_rows), probed.shape[2] * TABLES))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(c.take(at) for c in b.columns)], ["bucket", "vec_id", "vector", "floor"])
+
+        return run
 
     fields = f"bucket long, vec_id long, vector {vector_type}"
     placed = data.mapInArrow(buckets, fields)
     large = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
     large = materialise(large, "large")
     parts = F.coalesce("parts", F.lit(1))
-    placed = placed.join(large, "bucket", "left").withColumns({"part": F.pmod(F.xxhash64("vec_id"), parts), "asks": F.lit(False)})
-    asking = queries.mapInArrow(visits, fields).join(large, "bucket", "left").withColumns({"part": F.explode(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long"))), "asks": F.lit(True)})
-    both = placed.unionByName(asking).select(F.xxhash64("bucket", "part").alias("block"), "asks", "vec_id", "vector")
-    both = both.repartition("block").sortWithinPartitions("block")
+    placed = placed.join(large, "bucket", "left").withColumns({"part": F.pmod(F.xxhash64("vec_id"), parts), "floor": F.lit(None).cast("double")})
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -175,14 +179,15 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col
             return q[own], v[own], s[own]
 
         for run in key_runs(batches, "block"):
-            asks, ids = run.column("asks").to_numpy(), run.column("vec_id").to_numpy()
+            floor, ids = run.column("floor").to_numpy(), run.column("vec_id").to_numpy()
+            asks = ~np.isnan(floor)
             if asks.all() or not asks.any():
                 continue
             x = _matrix(run.column("vector").combine_chunks(), d)
             own, others = np.flatnonzero(asks), np.flatnonzero(~asks)
             for i in range(0, len(own), 512):
                 some = own[i : i + 512]
-                q, v, s = _compare(x[some], x[others], ids[others], k + 1)
+                q, v, s = _compare(x[some], x[others], ids[others], k + 1, floor[some])
                 held.append((ids[some][q], v, s))
                 n += len(q)
             if n > HELD:
@@ -191,8 +196,25 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in kept()], ["rep", "vec_id", "score"])
 
-    found = both.mapInArrow(search, "rep long, vec_id long, score double").groupBy("rep", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
+
+    def visited(asked: DataFrame, first: int, last: int) -> DataFrame:
+        """(rep, vec_id, score) of the best in these buckets, those of each task."""
+        asking = asked.mapInArrow(visits(first, last), f"{fields}, floor double").join(large, "bucket", "left")
+        asking = asking.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long"))))
+        both = placed.unionByName(asking).select(F.xxhash64("bucket", "part").alias("block"), "vec_id", "vector", "floor")
+        return both.repartition("block").sortWithinPartitions("block").mapInArrow(search, "rep long, vec_id long, score double")
+
+    # The likeliest buckets come first; what they give is the least that those after them must reach to be sent on.
+    early = max(1, hashes.probes // 8)
+    start = queries.withColumn("floor", F.lit(float("-inf")))
+    first = materialise(visited(start, 0, early).groupBy("rep", "vec_id").agg(F.max("score").alias("score")), "early")
+    found = first
+    if early < hashes.probes:
+        reached = first.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1).filter(F.col("place") == k + 1)
+        floors = queries.join(reached.select(F.col("rep").alias("vec_id"), F.col("score").alias("floor")), "vec_id", "left")
+        more = visited(floors.select("vec_id", "vector", F.coalesce("floor", F.lit(float("-inf"))).alias("floor")), early, hashes.probes)
+        found = first.unionByName(more).groupBy("rep", "vec_id").agg(F.max("score").alias("score"))
     found = found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1)
     own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     answers = members.join(found, "rep").filter("vec_id <> query_id").withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k)
