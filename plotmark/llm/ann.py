@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plotmark.llm.common import key_runs, materialise
+from plotmark.llm.common import key_runs, materialise, thinned
 
 TABLES, WIDTH = 4, 1.5  # hash tables, and the width of a cell in standard deviations
 HASHES, ROWS_AT, MORE_AT, MOST_HASHES = 4, 50_000, 4, 8  # one hash more for each MORE_AT-fold of ROWS_AT rows
@@ -224,7 +224,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col
 def _probes_for(data: DataFrame, queries: DataFrame, hashes: Hashes, norm: float, d: int, k: int, recall: float) -> int:
     """How many buckets a query must visit in each table so that a sample of queries finds ``recall`` of their true
     neighbours, which are found by comparing the sample with all rows."""
-    drawn = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    drawn = thinned(queries, "vec_id", SAMPLE).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     if not drawn:
         return 1
     ids, x = np.array([r["vec_id"] for r in drawn]), np.array([r["vector"] for r in drawn], dtype=np.float64)

@@ -62,3 +62,10 @@ def list_column(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> p
     offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
     np.cumsum(lengths, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
+
+
+def thinned(df: DataFrame, key: str, n: int, slack: int = 4) -> DataFrame:
+    """About ``slack`` times ``n`` rows of ``df`` (all, if it has fewer) by the hash of ``key``, so that a sorted limit of
+    ``n`` of them brings the driver no more than that, however many tasks there are."""
+    share = min(1.0, slack * n / max(df.count(), 1))
+    return df.filter(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) <= share * (1 << 30))

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plotmark.llm.common import thinned
+
 PATH_DIM, WORD_DIM, MORE = 64, 48, 4  # hashed tag path, hashed words, plain numbers
 HIDDEN = 20  # of each direction
 SAMPLE = 240  # pages that the fit sees at most
@@ -268,7 +270,7 @@ def varied(blocks: list[Block], labels: list[bool], draw: np.random.Generator) -
 def fit_labeller(pages: DataFrame, sample: int = SAMPLE, id_col: str = "page_id", html_col: str = "html") -> BlockLabeller:
     """Fit the labeller to at most ``sample`` pages (by the hash of their ids) that mark their article, each as it is
     and in two other dresses; the weak labels come from that markup."""
-    marked = pages.filter(F.lower(html_col).rlike("<(article|main)[ >]"))
+    marked = thinned(pages, id_col, sample).filter(F.lower(html_col).rlike("<(article|main)[ >]"))
     drawn = marked.select(F.col(id_col).cast("string").alias("id"), F.col(html_col).alias("html")).orderBy(F.xxhash64("id"), "id").limit(sample).collect()
     draw = np.random.default_rng(11)
     known = []
