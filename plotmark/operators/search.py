@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from plotmark.operators.lexical import match_all, query_lexemes, rank_matches
 
 DEFAULT_K, MAX_K, RRF_K, DEPTH = 8, 100, 60, 4
+QUERY_BYTES = 32_000_000  # of query vectors that are sent to every task
 
 
 def live_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -31,18 +32,66 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(norm == 0, F.lit(float("nan"))).otherwise(1 - _dot(a, b) / F.when(norm != 0, norm))
 
 
-def vector_topk(queries: DataFrame, embeddings: DataFrame, depth: int = DEPTH) -> DataFrame:
+def vector_topk(queries: DataFrame, embeddings: DataFrame, depth: int = DEPTH, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, chunk_id, distance, vector_rank): for each of ``queries`` (query_id, address_id, k, vector) the
-    ``depth`` times k nearest embeddings of its address. Norms are taken once a row; each task keeps its best before
-    the shuffle. Distances are rounded to 9 places; ties go to the smaller chunk_id."""
+    ``depth`` times k nearest embeddings of its address. Distances are rounded to 9 places; ties go to the smaller
+    chunk_id.
+
+    Queries of at most ``query_bytes`` in all are sent to every task, which multiplies them with its embeddings and
+    keeps the best of each; a larger batch of queries is joined by address. The embeddings themselves are never
+    broadcast, nor shuffled in the first way."""
+    size = queries.agg(F.sum(F.size("vector") * 8 + 64).alias("bytes")).first()["bytes"] or 0
+    near = _near_sent(queries, embeddings, depth) if size <= query_bytes else _near_joined(queries, embeddings)
+    order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
+    ranked = near.withColumn("vector_rank", F.row_number().over(order)).filter(F.col("vector_rank") <= depth * MAX_K)
+    return ranked.filter(F.col("vector_rank") <= F.col("k") * depth).select("query_id", "chunk_id", "distance", "vector_rank")
+
+
+def _near_joined(queries: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, k, distance) of all pairs of an address, with built-in functions."""
     q = queries.select("query_id", "address_id", "k", "vector", F.sqrt(_dot(F.col("vector"), F.col("vector"))).alias("q_norm"))
     e = embeddings.select("chunk_id", "address_id", "embedding", F.sqrt(_dot(F.col("embedding"), F.col("embedding"))).alias("e_norm"))
     norm = F.col("q_norm") * F.col("e_norm")
     distance = F.when(norm == 0, F.lit(float("nan"))).otherwise(F.round(1 - _dot(F.col("vector"), F.col("embedding")) / F.when(norm != 0, norm), 9))
-    near = q.join(e, "address_id").select("query_id", "chunk_id", "k", distance.alias("distance"))
-    order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    ranked = near.withColumn("vector_rank", F.row_number().over(order)).filter(F.col("vector_rank") <= depth * MAX_K)
-    return ranked.filter(F.col("vector_rank") <= F.col("k") * depth).select("query_id", "chunk_id", "distance", "vector_rank")
+    return q.join(e, "address_id").select("query_id", "chunk_id", "k", distance.alias("distance"))
+
+
+def _near_sent(queries: DataFrame, embeddings: DataFrame, depth: int) -> DataFrame:
+    """As ``_near_joined``, but only the best of each query and Arrow batch."""
+    by_address: dict[str, list] = {}
+    for r in queries.select("query_id", "address_id", "k", "vector").filter(F.col("vector").isNotNull()).collect():
+        by_address.setdefault(r["address_id"], []).append((r["query_id"], r["k"], np.array(r["vector"], dtype=np.float64)))
+    sent = queries.sparkSession.sparkContext.broadcast(by_address)
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = sent.value
+        for b in batches:
+            addresses = b.column(1).dictionary_encode()
+            names, of = addresses.dictionary.to_pylist(), addresses.indices.to_numpy(zero_copy_only=False)
+            out: list[tuple] = []
+            for place, name in enumerate(names):
+                at = np.flatnonzero(of == place) if name in asked else ()
+                if not len(at):
+                    continue
+                rows = b.take(pa.array(at))
+                ids = np.array(rows.column(0).to_pylist(), dtype=object)
+                x = rows.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+                norms = np.sqrt((x * x).sum(axis=1))
+                for query_id, k, v in asked[name]:
+                    norm = norms * np.sqrt((v * v).sum())
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        distance = np.round(np.where(norm > 0, 1 - (x @ v) / norm, np.nan), 9) + 0.0  # no negative zero
+                    n = min(k * depth, len(ids))
+                    bound = np.partition(distance, n - 1)[n - 1]  # NaN sorts last
+                    some = np.flatnonzero((distance <= bound) | np.isnan(bound))
+                    some = some[np.lexsort((ids[some].astype(str), distance[some]))][:n]
+                    out += [(query_id, ids[i], k, distance[i]) for i in some]
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t, from_pandas=False) for c, t in zip(columns, kinds, strict=True)], ["query_id", "chunk_id", "k", "distance"])
+
+    rows = embeddings.filter(F.col("embedding").isNotNull()).select("chunk_id", "address_id", "embedding")
+    return rows.mapInArrow(rank, "query_id string, chunk_id string, k int, distance double")
 
 
 def text_topk(queries: DataFrame, postings: DataFrame, config: str = "english", depth: int = DEPTH) -> DataFrame:

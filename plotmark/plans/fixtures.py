@@ -16,9 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores, where its files have fewer row groups than there are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as a text upload of its source; its lines are paragraphs."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
     body = F.replace("text", F.lit("\n"), F.lit("\n\n"))
     return d.select(
         F.col("source").alias("address_id"),

@@ -18,6 +18,8 @@ def test_vector_topk_ranks_within_the_address(spark):
     got = search.vector_topk(q, e).orderBy("vector_rank").collect()
     assert [r.chunk_id for r in got] == ["c0", "c1", "c2", "c3"] and math.isnan(got[-1].distance)
     assert search.vector_topk(q, e, depth=2).count() == 2
+    joined = search.vector_topk(q, e, query_bytes=0).orderBy("vector_rank").collect()
+    assert [r.chunk_id for r in joined] == [r.chunk_id for r in got] and joined[:3] == got[:3]
 
 
 def test_fusion_sums_reciprocal_ranks(spark):
