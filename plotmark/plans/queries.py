@@ -283,7 +283,8 @@ def rebuild(s: SparkSession, d: str) -> DataFrame:
     some = old.filter("chunk_id < '8'").withColumns({"model_id": F.lit(fx.MODEL), "dim": F.lit(-1)})
     config = fx.table(s, d, "region").filter("r_regionkey = 0").select(F.lit("active_model").alias("key"), F.lit("hash:feature-128").alias("value"), F.timestamp_seconds(F.lit(0)).alias("updated_at"))
     out, config = lifecycle.rebuild(c, fx.documents(s, d), old.unionByName(some), config, fx.MODEL, fx.DIM, _now())
-    return out.join(F.broadcast(config.select(F.col("value").alias("active"))), F.lit(True)).select("chunk_id", "model_id", "dim", (F.col("active") == F.col("model_id")).alias("active"))
+    active = config.filter("key = 'active_model'").select(F.col("value").alias("model_id"), F.lit(True).alias("active"))
+    return out.join(active, "model_id", "left").select("chunk_id", "model_id", "dim", F.coalesce("active", F.lit(False)).alias("active"))
 
 
 def config_upsert(s: SparkSession, d: str) -> DataFrame:
@@ -398,7 +399,8 @@ def stream_status(s: SparkSession, d: str) -> DataFrame:
 
 
 def lease_timeout(s: SparkSession, d: str) -> DataFrame:
-    return streaming.expired_leases(fx.job_events(s, d), 3600)
+    end = fx.table(s, d, "events").agg(F.unix_micros(F.max("ts").cast("timestamp")).alias("end")).first()["end"]
+    return streaming.expired_leases(fx.job_events(s, d), F.timestamp_micros(F.lit(end)), 3600)
 
 
 def flagship(s: SparkSession, d: str) -> DataFrame:
