@@ -217,7 +217,7 @@ def ngram_join(
     inside = inside.union(clusters.select(F.col("root").alias("rep"), F.col("root").alias("cluster")).distinct())
     inside = materialise(inside.join(classes.select("rep", "size", "shingles"), "rep"), "inside")
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("shingles") / BLOCK_SHINGLES))
-    total = inside.groupBy("cluster").agg(parts.cast("int").alias("parts"))
+    total = materialise(inside.groupBy("cluster").agg(parts.cast("int").alias("parts")), "total")
     placed = inside.join(total, "cluster").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     texts = docs_of(docs, id_col, text_col).withColumnRenamed("doc_id", "rep").join(placed.hint("merge"), "rep")
     blocks = texts.select("cluster", "rep", "part", "parts", "size", word_hashes(F.col("text")).alias("words"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
