@@ -47,6 +47,8 @@ _STATUS = "SELECT task_id, address_id, document_id, model_id, job_type, state, c
 _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _RETRY = ", ".join(f"'{w}'" for w in RETRYABLE)
 
+_LEASES = f"WITH {JOBS} SELECT task_id, address_id, state, event_ts AS since FROM lastev WHERE state IN {_IN_FLIGHT} AND (SELECT max(ts) FROM events) > event_ts + INTERVAL 3600 SECOND"
+
 ORACLES: dict[str, str] = {
     "content_hash": f"WITH {UPLOADS} SELECT address_id, upload_id, 'text/plain' AS content_type, address_id AS display_name, sha256(body) AS content_hash FROM u WHERE length(body) > 0",
     "address_upsert": "SELECT DISTINCT source AS address_id, CASE WHEN length(source) = 4 THEN 'Known ' || source ELSE source END AS display_name FROM documents",
@@ -130,5 +132,6 @@ UNION ALL SELECT 'embedding', chunk_id FROM k WHERE ordinal = 1 AND (address_id
 UNION ALL SELECT 'missing value', chunk_id FROM k WHERE ordinal = 4 UNION ALL SELECT 'gap in ordinals', document_id FROM k WHERE document_id < '8' GROUP BY document_id HAVING count(*) > 2""",
     "stream_gate": f"WITH {LATER} SELECT address_id, upload_id, content_hash, doc_version, state FROM g",
     "stream_status": f"WITH {JOBS} {_STATUS}",
-    "lease_timeout": f"""WITH {JOBS} SELECT task_id, address_id, state, event_ts AS since FROM lastev WHERE state IN {_IN_FLIGHT} AND (SELECT max(ts) FROM events) > event_ts + INTERVAL 3600 SECOND""",
+    "stream_lease": _LEASES,
+    "lease_timeout": _LEASES,
 }

@@ -403,6 +403,13 @@ def lease_timeout(s: SparkSession, d: str) -> DataFrame:
     return streaming.expired_leases(fx.job_events(s, d), F.timestamp_micros(F.lit(end)), 3600)
 
 
+def stream_lease(s: SparkSession, d: str) -> DataFrame:
+    events = fx.job_events(s, d)
+    folder, base = _stream_folder(s, events, "lease")
+    _run(streaming.stream_leases(s.readStream.schema(events.schema).parquet(folder), 3600, "0 seconds"), base, "append")
+    return s.read.parquet(f"{base}/out")
+
+
 def flagship(s: SparkSession, d: str) -> DataFrame:
     return _hybrid(s, d)
 
@@ -416,6 +423,6 @@ QUERIES: dict[str, Query] = {
         vector_search, lexemes, lexemes_english, text_match, text_topk, text_topk_covers, rrf, hybrid_search, examined, query_job, publish,
         remove_cascade, missing_embeddings, rebuild, config_upsert, rebuild_active, ingest_job, job_status, failure_outcome, missing_by_address,
         address_status, stuck_jobs, query_metrics, ingest_cost, audit_duplicates, audit_orphans, audit_address, audit_domain, stream_gate,
-        stream_status, lease_timeout,
+        stream_status, stream_lease, lease_timeout,
     )
 }
