@@ -28,7 +28,7 @@ _IRREGULAR = _ODD + r"|[ \n][ \n]"
 _WIDE = r"[^\x00-\x{ff}]"
 CACHE_WORDS, CACHE_OFFSETS = 400_000, 120_000  # words that a worker keeps before it begins afresh, without and with offsets
 JOINED, JOIN_CHARS = 200, 64  # new words that are encoded as one text, and the longest of them
-BATCH_BYTES, BATCH_OFFSETS = 8_000_000, 1_500_000  # of texts that are encoded together, without and with offsets
+BATCH_BYTES, BATCH_OFFSETS = 4_000_000, 1_500_000  # of texts that are encoded together, without and with offsets
 
 
 def text_batches(texts: pa.Array, size: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
