@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotmark.llm.common import shared_dir
+from plotmark.llm.common import materialise, shared_dir
 from plotmark.llm.language_id import UNDETERMINED, fit_language_model, held_out, predict_language
 from plotmark.llm.line_dedup import line_dedup
 from plotmark.llm.ngram_join import ngram_join
@@ -34,17 +34,27 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return told.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` as a table with a unique ``row_key``, since ids may be null or repeated."""
+    return materialise(docs.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
+
+
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines are cut out of the texts; documents of which nothing is left go."""
-    cleaned = line_dedup(docs).select("doc_id", F.col("text").alias("cleaned"), "n_dropped")
-    joined = docs.join(cleaned.hint("merge"), "doc_id").filter((F.col("n_dropped") == 0) | (F.trim("cleaned") != ""))
+    keyed = _keyed(docs)
+    cleaned = line_dedup(keyed, id_col="row_key").select(F.col("doc_id").alias("row_key"), F.col("text").alias("cleaned"), "n_dropped")
+    joined = keyed.join(cleaned.hint("merge"), "row_key").filter((F.col("n_dropped") == 0) | (F.trim("cleaned") != ""))
     return _sized(joined.withColumn("text", F.col("cleaned")), docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
-    stays = ngram_join(docs).filter(F.col("doc_id") == F.col("class_id")).select("doc_id")
-    return docs.join(stays.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of linked documents one row with the smallest id stays; a null id comes after all others."""
+    keyed = _keyed(docs)
+    classes = ngram_join(keyed, id_col="row_key").select(F.col("doc_id").alias("row_key"), "class_id")
+    named = keyed.select("row_key", "doc_id").join(classes.hint("merge"), "row_key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("first")
+    stays = named.groupBy("class_id").agg(first).select(F.col("first.row_key").alias("row_key"))
+    return keyed.join(stays.hint("merge"), "row_key", "left_semi").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 import corpus_pipeline
 from plotmark.llm import pii
 from plotmark.llm.line_dedup import line_dedup_sql
+from tests.llm.conftest import prose
 from tests.llm.test_ngram_join import brute
 from tests.llm.test_packing import check_places
 
@@ -76,3 +77,11 @@ def test_odd_documents_pass_all_stages(spark, odd_docs, no_docs):
     for docs in (odd_docs.select(*columns), no_docs.select(*columns)):
         for _, stage in corpus_pipeline.STAGES:
             docs = spark.createDataFrame(stage(spark, docs, SF).collect(), stage(spark, docs, SF).schema)
+
+
+def test_null_and_repeated_ids_keep_whole_rows(spark):
+    rows = [(None, prose(60, 1), "en", "a", 1), (None, prose(60, 2), "en", "b", 1), (5, prose(60, 3), "en", "c", 1), (5, prose(60, 4), "fr", "d", 1), (7, prose(60, 3), "en", "e", 1), (5, prose(60, 3), "en", "c", 1), (None, prose(60, 3), "en", "f", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    whole = lambda found: sorted(map(str, ((r.doc_id, r.text, r.lang, r.source) for r in found)))
+    assert whole(corpus_pipeline.lines(spark, docs, SF).collect()) == sorted(str(r[:4]) for r in rows)
+    assert whole(corpus_pipeline.near_copies(spark, docs, SF).collect()) == sorted(str(r[:4]) for r in rows[:4])
