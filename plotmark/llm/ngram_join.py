@@ -14,15 +14,15 @@ from plotmark.llm.components import connected_components
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, MAX_DEPTH, RECALL = 12, 8, 0.998
-NODE = 512  # members up to which a trie node's pairs are compared by signature
-BLOCK, BLOCK_SHINGLES = 256, 400_000  # members and shingles of which about so many are verified together
+NEIGHBOURS = 2  # that a label is compared with before it in the sorted trie
+BLOCK, BLOCK_SHINGLES = 512, 800_000  # members and shingles of which about so many are compared together
 SLICE = 4096  # shingles that a verification multiplies at once
 
 _U = np.uint64
 
 
 def prefix_depth(trees: int, max_depth: int, threshold: float, recall: float) -> int:
-    """Matched prefixes are shortened from ``max_depth`` until a pair at the threshold shares one in some tree with
+    """The depth at which shortening ends: a pair at the threshold shares a prefix of that many values in some tree with
     probability ``recall``."""
     for depth in range(max_depth, 0, -1):
         if 1 - (1 - threshold**depth) ** trees >= recall:
@@ -68,8 +68,9 @@ def _lists(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def sketches(docs: DataFrame, n: int, trees: int, depth: int, id_col: str, text_col: str) -> DataFrame:
-    """Per document: doc_id, how many distinct shingles it has, a 128-bit hash of their set (k1, k2) and the MinHash
-    signature (``trees`` labels of ``depth`` 32-bit values). Documents without words have no shingles and null keys."""
+    """Per document: doc_id, how many distinct shingles it has, a 128-bit hash of their set (k1, k2), the MinHash
+    signature (``trees`` labels of ``depth`` 32-bit values) and a byte of each value, to estimate similarities by.
+    Documents without words have no shingles and null keys."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _constants(trees * depth)
@@ -89,12 +90,13 @@ def sketches(docs: DataFrame, n: int, trees: int, depth: int, id_col: str, text_
                         signatures[some, i] = np.minimum.reduceat((flat * a[i] + b[i]) >> _U(32), starts)
                 none = sizes == 0
                 signed = pa.array([None if x else s.tobytes() for x, s in zip(none, signatures, strict=True)], type=pa.binary())
+                check = pa.array([None if x else s.tobytes() for x, s in zip(none, signatures.astype(np.uint8), strict=True)], type=pa.binary())
                 k1, k2 = (pa.array(k.view(np.int64), mask=none) for k in keys)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), k1, k2, signed], ["doc_id", "shingles", "k1", "k2", "signature"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), k1, k2, signed, check], ["doc_id", "shingles", "k1", "k2", "signature", "check"])
 
     rows = docs_of(docs, id_col, text_col).select("doc_id", word_hashes(F.col("text")).alias("words"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(sketch, f"doc_id {kind}, shingles int, k1 long, k2 long, signature binary")
+    return rows.mapInArrow(sketch, f"doc_id {kind}, shingles int, k1 long, k2 long, signature binary, check binary")
 
 
 def _roots(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -108,34 +110,119 @@ def _roots(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
         root = low
 
 
-def _candidate_edges(nodes: DataFrame, slots: int, least: float, kind: str) -> DataFrame:
-    """Trie nodes, each a list of (rep, signature), to edges between members and the smallest member of those that
-    are connected by signatures which agree in a share of ``least``."""
+def _matrix(column: pa.Array, kind: type) -> np.ndarray:
+    """Rows of equally long binaries as rows of numbers."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), -1)
+
+
+def _prefix(depth: int) -> Column:
+    """The trie node of a label at ``depth``."""
+    return F.xxhash64("tree", F.substring("label", 1, 4 * depth))
+
+
+def _neighbour_edges(tries: DataFrame, depth: int, slots: int, least: float, kind: str) -> DataFrame:
+    """(a, b): labels next to each other in a sorted trie, which are those with the longest common prefixes, if it has
+    ``depth`` values and the signatures agree in a share of ``least``. A range partitioning deals out the sorted tries, so
+    that no task gets more than others however many labels are alike."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
-            members = batch.column(0)
-            flat = members.flatten()
-            ids = flat.field(0).to_numpy(zero_copy_only=False)
-            signatures = np.frombuffer(b"".join(flat.field(1).to_pylist()), dtype=np.uint32).reshape(-1, slots)
-            offsets = members.offsets.to_numpy() - members.offsets[0].as_py()
-            sizes = np.diff(offsets)
-            two = offsets[:-1][sizes == 2]
-            near = (signatures[two] == signatures[two + 1]).sum(axis=1) >= least * slots
-            high, low = [np.maximum(ids[two], ids[two + 1])[near]], [np.minimum(ids[two], ids[two + 1])[near]]
-            for k in np.flatnonzero(sizes > 2).tolist():
-                own, sign = ids[offsets[k] : offsets[k + 1]], signatures[offsets[k] : offsets[k + 1]]
-                agree = np.zeros((len(own), len(own)), dtype=np.int16)
-                for i in range(slots):
-                    agree += sign[:, i][:, None] == sign[:, i][None, :]
-                root = _roots(agree >= least * slots, own)
-                high.append(own[root != own])
-                low.append(root[root != own])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(high)), pa.array(np.concatenate(low))], ["a", "b"])
+            if not batch.num_rows:
+                continue
+            own = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2), np.uint32)[:, :depth], _matrix(batch.column(3), np.uint8)]
+            if held:
+                own = [np.concatenate(x) for x in zip(held, own, strict=True)]
+            ids, tree, label, check = own
+            high, low = [], []
+            for back in range(1, min(NEIGHBOURS, len(ids) - 1) + 1):
+                same = np.flatnonzero((tree[back:] == tree[:-back]) & (label[back:] == label[:-back]).all(axis=1)) + back
+                near = same[(check[same] == check[same - back]).sum(axis=1) >= least * slots]
+                high.append(np.maximum(ids[near], ids[near - back]))
+                low.append(np.minimum(ids[near], ids[near - back]))
+            held = [x[-NEIGHBOURS:] for x in own]
+            if high:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(high)), pa.array(np.concatenate(low))], ["a", "b"])
+
+    order = ("tree", "label", "rep")
+    rows = tries.select("rep", "tree", "label", "check").repartitionByRange(*order).sortWithinPartitions(*order)
+    return rows.mapInArrow(compare, f"a {kind}, b {kind}")
+
+
+def _pairs_of_parts(rows: DataFrame, key: str, part: Column, others: Column, *columns: str) -> DataFrame:
+    """Rows of a group ``key``, each once for every pair of its own ``part`` with one of the first ``others`` parts of the
+    group: block, same (a part with itself), part and ``columns``, sorted by block."""
+    each = rows.select(key, part.cast("int").alias("part"), *columns, F.explode(F.sequence(F.lit(0), others.cast("int") - 1)).alias("other"))
+    block = F.xxhash64(key, F.least("part", "other"), F.greatest("part", "other"))
+    each = each.select(block.alias("block"), (F.col("part") == F.col("other")).alias("same"), "part", *columns)
+    return each.repartition("block").sortWithinPartitions("block")
+
+
+def _level_blocks(active: DataFrame, mixed: DataFrame, depth: int) -> DataFrame:
+    """The members of the nodes at ``depth`` that hold several components, in blocks: those outside a node's largest
+    component meet one another and all of it, but it doesn't meet itself."""
+    own = mixed.filter(F.col("depth") == depth).select("node", "top", "m")
+    rows = active.withColumn("node", _prefix(depth)).join(own, "node")
+    strays, largest = (F.ceil(n / BLOCK) for n in (F.col("m") - F.col("top.n"), F.col("top.n")))
+    at = lambda n: F.pmod(F.xxhash64("rep"), n)
+    in_top = F.col("comp") == F.col("top.comp")
+    return _pairs_of_parts(rows, "node", F.when(in_top, strays + at(largest)).otherwise(at(strays)), F.when(in_top, strays).otherwise(strays + largest), "comp", "check")
+
+
+def _level_edges(nodes: DataFrame, slots: int, least: float, kind: str) -> DataFrame:
+    """(a, b): components with members in one trie node whose signatures agree in a share of ``least``, linked to the
+    smallest that they are connected to in a block."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in key_runs(batches, "block"):
+            comp, check = run.column("comp").to_numpy(), _matrix(run.column("check").combine_chunks(), np.uint8)
+            agree = np.zeros((len(comp), len(comp)), dtype=np.uint16)
+            for i in range(slots):
+                agree += check[:, i][:, None] == check[:, i][None, :]
+            root = _roots((agree >= least * slots) | (comp[:, None] == comp[None, :]), comp)
+            pairs = np.unique(np.stack([comp, root])[:, root != comp], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     return nodes.mapInArrow(compare, f"a {kind}, b {kind}")
 
 
+def forest_clusters(tries: DataFrame, least: float, floor: int, max_depth: int, slots: int) -> tuple[DataFrame, list[int]]:
+    """Sorted prefix tries, rows (rep, tree, label, check), to clusters of candidates: (rep, cluster) for the members of
+    those of two or more, and the depths to which prefixes were shortened.
+
+    First every label meets its neighbours in the sorted trie. Then matched prefixes are shortened from ``max_depth`` by
+    one value after another, down to ``floor``. At each depth only nodes that still hold several components are
+    compared, so that a large group of near copies, which its longest prefixes put together, costs nothing at shorter ones;
+    depths without such nodes are skipped, and shortening ends early where ``floor`` has none. Any two that share a
+    node of depth ``floor`` thus end in one cluster or have been compared by signature.
+    """
+    kind = tries.schema["rep"].dataType.simpleString()
+    linked = connected_components(_neighbour_edges(tries, floor, slots, least, kind))
+    comps = materialise(linked.select(F.col("id").alias("rep"), F.col("root").alias("comp")), "comps")
+    active = materialise(tries.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "active")
+    visited, below = [], max_depth + 1
+    while below > floor:
+        depths = F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(d).alias("node")) for d in range(floor, below)])
+        held = active.select("comp", F.inline(depths)).groupBy("depth", "node", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("depth", "node")
+        held = held.agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("m"))
+        mixed = materialise(held.filter("m > top.n"), "mixed")
+        depth = mixed.agg(F.max("depth")).first()[0]
+        if depth is None:
+            break
+        visited.append(depth)
+        edges = _level_edges(_level_blocks(active, mixed, depth), slots, least, kind)
+        moved = connected_components(edges).select(F.col("id").alias("comp"), F.col("root").alias("to"))
+        comps = comps.unionByName(moved.select(F.col("comp").alias("rep"), "comp"))
+        comps = materialise(comps.join(moved, "comp", "left").select("rep", F.coalesce("to", "comp").alias("comp")), "comps")
+        # What shares no node of the last depth with another component is settled.
+        last = mixed.filter(F.col("depth") == floor).select("node")
+        active = active.withColumn("node", _prefix(floor)).join(last, "node", "left_semi").join(moved, "comp", "left")
+        active = materialise(active.withColumn("comp", F.coalesce("to", "comp")).select(*tries.columns, "comp"), "active")
+        below = depth
+    clusters = comps.select("rep", F.col("comp").alias("cluster"))
+    return clusters.union(clusters.select(F.col("cluster").alias("rep"), "cluster")).distinct(), visited
+
+
 def _verified(blocks: DataFrame, threshold: float, n: int, kind: str) -> DataFrame:
     """Rows (block, same, rep, part, size, words), sorted by block, to (rep, links, root): the number of documents of
     this block that ``rep`` is linked with, and the smallest rep of its component in the block."""
@@ -183,8 +270,8 @@ def ngram_join(
     connect it to) and n_links (with how many other documents it is linked).
 
     Documents with the same set are one class from the start, so copies cost one row however many there are. Class
-    representatives go into ``trees`` prefix tries; each trie node at the depth that gives ``recall`` at the
-    threshold proposes candidates, of which those with near signatures (four standard deviations below the
+    representatives go into ``trees`` sorted prefix tries, whose matched prefixes are shortened as far as ``recall`` at
+    the threshold asks (see ``forest_clusters``); candidates with near signatures (four standard deviations below the
     threshold still pass) are put together into clusters. All pairs of a cluster are then verified exactly, in
     blocks of bounded size; blocks return counts and local roots, never pairs. The cost of a cluster of m
     representatives grows with m squared over the block size.
@@ -194,40 +281,36 @@ def ngram_join(
     links), and so do rows whose id is null. Ids must be whole numbers and name one text each; rows repeated count as
     further copies. An empty table gives an empty result; other columns are ignored.
     """
-    depth = prefix_depth(trees, MAX_DEPTH, threshold, recall)
-    slots = trees * depth
+    floor = prefix_depth(trees, MAX_DEPTH, threshold, recall)
+    slots = trees * MAX_DEPTH
     least = threshold - 4 * (threshold * (1 - threshold) / slots) ** 0.5
     kind = docs.schema[id_col].dataType.simpleString()
-    sketch = materialise(sketches(docs, n, trees, depth, id_col, text_col), "sketch")
+    sketch = materialise(sketches(docs, n, trees, MAX_DEPTH, id_col, text_col), "sketch")
     usable = sketch.filter("k1 is not null and doc_id is not null")
-    classes = usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.max("shingles").alias("shingles"))
+    # A set has one signature, which as a key keeps the aggregate to hashes.
+    classes = usable.groupBy("k1", "k2", "signature", "check").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.max("shingles").alias("shingles"))
     classes = materialise(classes, "classes")
-    signed = usable.select(F.col("doc_id").alias("rep"), "k1", "k2", "signature").join(classes.select("rep", "k1", "k2"), ["rep", "k1", "k2"], "left_semi")
-    signed = signed.select("rep", "signature")
-
-    labels = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.substring("signature", t * (4 * depth) + 1, F.lit(4 * depth))))
-    nodes = signed.select("rep", F.explode(labels).alias("node"))
-    counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("pivot")).filter("m > 1")
-    members = materialise(nodes.join(counts, "node"), "members")
-    small = members.filter(F.col("m") <= NODE).join(signed, "rep").groupBy("node").agg(F.collect_list(F.struct("rep", "signature")).alias("members"))
-    large = members.filter(F.col("m") > NODE).select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-    clusters = connected_components(_candidate_edges(small.select("members"), slots, least, kind).union(large))
-
-    inside = clusters.select(F.col("id").alias("rep"), F.col("root").alias("cluster"))
-    inside = inside.union(clusters.select(F.col("root").alias("rep"), F.col("root").alias("cluster")).distinct())
-    inside = materialise(inside.join(classes.select("rep", "size", "shingles"), "rep"), "inside")
+    signed = classes.select("rep", "signature", "check")
+
+    label = lambda t: F.substring("signature", t * (4 * MAX_DEPTH) + 1, F.lit(4 * MAX_DEPTH))
+    trees_of = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), label(t).alias("label")))
+    nodes = signed.select("rep", F.inline(trees_of)).select("rep", "tree", _prefix(floor).alias("node"))
+    shared = materialise(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("node"), "shared")
+    tries = materialise(nodes.join(shared, "node").select("rep", "tree"), "members").join(signed, "rep")
+    tries = materialise(tries.select("rep", "tree", label(F.col("tree")).alias("label"), "check"), "tries")
+    clusters, _ = forest_clusters(tries, least, floor, MAX_DEPTH, slots)
+
+    inside = materialise(clusters.join(classes.select("rep", "size", "shingles"), "rep"), "inside")
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("shingles") / BLOCK_SHINGLES))
     total = materialise(inside.groupBy("cluster").agg(parts.cast("int").alias("parts")), "total")
-    placed = inside.join(total, "cluster").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    texts = docs_of(docs, id_col, text_col).withColumnRenamed("doc_id", "rep").join(placed.hint("merge"), "rep")
-    blocks = texts.select("cluster", "rep", "part", "parts", "size", word_hashes(F.col("text")).alias("words"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    blocks = blocks.select(F.xxhash64("cluster", F.least("part", "other"), F.greatest("part", "other")).alias("block"), (F.col("part") == F.col("other")).alias("same"), "rep", "part", "size", "words")
-    blocks = blocks.repartition("block").sortWithinPartitions("block")
+    texts = docs_of(docs, id_col, text_col).withColumnRenamed("doc_id", "rep").join(inside.join(total, "cluster").hint("merge"), "rep")
+    texts = texts.select("cluster", "rep", "parts", "size", word_hashes(F.col("text")).alias("words"))
+    blocks = _pairs_of_parts(texts, "cluster", F.pmod(F.xxhash64("rep"), F.col("parts")), F.col("parts"), "rep", "size", "words")
     found = materialise(_verified(blocks, threshold, n, kind), "verified")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
 
-    grouped = classes.join(links, "rep", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
+    grouped = classes.drop("signature", "check").join(links, "rep", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
     grouped = grouped.select("k1", "k2", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
     alone = sketch.filter("k1 is null or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return usable.select("doc_id", "k1", "k2").join(grouped, ["k1", "k2"]).select("doc_id", "class_id", "n_links").union(alone)
