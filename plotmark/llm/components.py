@@ -34,7 +34,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
+        if now == seen or not now[0]:
             break
         seen = now
         edges = materialise(_small_star(_large_star(edges)).filter("a <> b").distinct(), "edges")

@@ -15,6 +15,7 @@ from plotmark.llm.components import connected_components
 WORDS, THRESHOLD = 5, 0.8
 TREES, MAX_DEPTH, RECALL = 12, 8, 0.998
 NEIGHBOURS = 2  # that a label is compared with before it in the sorted trie
+LIGHT = 64  # comparisons a label that are taken on at once; where shorter prefixes ask more, longer ones come first
 BLOCK, BLOCK_SHINGLES = 512, 800_000  # members and shingles of which about so many are compared together
 SLICE = 4096  # shingles that a verification multiplies at once
 
@@ -190,11 +191,12 @@ def forest_clusters(tries: DataFrame, least: float, floor: int, max_depth: int,
     """Sorted prefix tries, rows (rep, tree, label, check), to clusters of candidates: (rep, cluster) for the members of
     those of two or more, and the depths to which prefixes were shortened.
 
-    First every label meets its neighbours in the sorted trie. Then matched prefixes are shortened from ``max_depth`` by
-    one value after another, down to ``floor``. At each depth only nodes that still hold several components are
-    compared, so that a large group of near copies, which its longest prefixes put together, costs nothing at shorter ones;
-    depths without such nodes are skipped, and shortening ends early where ``floor`` has none. Any two that share a
-    node of depth ``floor`` thus end in one cluster or have been compared by signature.
+    First every label meets its neighbours in the sorted trie, those with its longest prefixes. Then matched prefixes are
+    shortened until ``floor``, as fast as the data allow: each time to the shortest at which the nodes that still hold
+    several components ask for no more than ``LIGHT`` comparisons a label, or else to the longest that has such nodes. So
+    a large group of near copies is put together by long prefixes and costs nothing at shorter ones, and shortening ends
+    early where no node of depth ``floor`` holds several components. Any two labels that share a node of that depth end in
+    one cluster or have been compared by signature.
     """
     kind = tries.schema["rep"].dataType.simpleString()
     linked = connected_components(_neighbour_edges(tries, floor, slots, least, kind))
@@ -206,18 +208,20 @@ def forest_clusters(tries: DataFrame, least: float, floor: int, max_depth: int,
         held = active.select("comp", F.inline(depths)).groupBy("depth", "node", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("depth", "node")
         held = held.agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("m"))
         mixed = materialise(held.filter("m > top.n"), "mixed")
-        depth = mixed.agg(F.max("depth")).first()[0]
-        if depth is None:
+        asked = {r["depth"]: r for r in mixed.groupBy("depth").agg(F.sum("m").alias("m"), F.sum(F.col("m") * (F.col("m") - F.col("top.n"))).alias("n")).collect()}
+        if not asked:
             break
+        depth = min((d for d, r in asked.items() if r["n"] <= LIGHT * r["m"]), default=max(asked))
         visited.append(depth)
         edges = _level_edges(_level_blocks(active, mixed, depth), slots, least, kind)
         moved = connected_components(edges).select(F.col("id").alias("comp"), F.col("root").alias("to"))
         comps = comps.unionByName(moved.select(F.col("comp").alias("rep"), "comp"))
         comps = materialise(comps.join(moved, "comp", "left").select("rep", F.coalesce("to", "comp").alias("comp")), "comps")
-        # What shares no node of the last depth with another component is settled.
-        last = mixed.filter(F.col("depth") == floor).select("node")
-        active = active.withColumn("node", _prefix(floor)).join(last, "node", "left_semi").join(moved, "comp", "left")
-        active = materialise(active.withColumn("comp", F.coalesce("to", "comp")).select(*tries.columns, "comp"), "active")
+        if depth > floor:
+            # What shares no node of the last depth with another component is settled.
+            last = mixed.filter(F.col("depth") == floor).select("node")
+            active = active.withColumn("node", _prefix(floor)).join(last, "node", "left_semi").join(moved, "comp", "left")
+            active = materialise(active.withColumn("comp", F.coalesce("to", "comp")).select(*tries.columns, "comp"), "active")
         below = depth
     clusters = comps.select("rep", F.col("comp").alias("cluster"))
     return clusters.union(clusters.select(F.col("cluster").alias("rep"), "cluster")).distinct(), visited

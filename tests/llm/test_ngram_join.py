@@ -69,14 +69,16 @@ def tries_of(spark, labels):
     return spark.createDataFrame(rows, "rep long, tree int, label binary, check binary")
 
 
-def test_prefixes_are_shortened_only_where_that_finds_more(spark):
+@pytest.mark.parametrize("light", [64, 1])
+def test_prefixes_are_shortened_as_the_data_ask(spark, monkeypatch, light):
+    monkeypatch.setattr(ngram_join, "LIGHT", light)
     alike = {i: [1, 2, 3, 4, 5, 6, 7, 8] for i in range(5)}
     clusters, depths = ngram_join.forest_clusters(tries_of(spark, alike), 0.6, 1, 4, 8)
     assert depths == [] and {(r.rep, r.cluster) for r in clusters.collect()} == {(i, 0) for i in range(5)}
     # Of 40 labels with two equal values many are no neighbours of those whose signatures are near; unlike ones stay apart.
     mixed = {i: [1, 2, i, 4, 5, 6, 7 + i % 2 * 200, i] for i in range(40)} | {i: [1, 100 + i, *range(i, i + 6)] for i in range(60, 64)}
     clusters, depths = ngram_join.forest_clusters(tries_of(spark, mixed), 0.7, 1, 4, 8)
-    assert depths and depths == sorted(depths, reverse=True)
+    assert depths == [1] if light == 64 else len(depths) > 1 and depths == sorted(depths, reverse=True)
     got = {r.rep: r.cluster for r in clusters.collect()}
     assert got == {i: i % 2 for i in range(40)}
 
