@@ -53,7 +53,12 @@ class WordEncoder:
             raise ValueError("offsets are of texts as they are")
         self.tokenizer, self.offsets = tokenizer, offsets
         self.between = " " if bare else ""
+        added = [] if tokenizer.encode_special_tokens else [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        #: Texts with such a string, in any case, are encoded whole.
+        self.special = "(?i)" + "|".join(re.escape(a) for a in added) if added else None
         self._forget()
+        if bare and self._encoded(["Ab.\n c  D"])[0][0].tolist() != np.concatenate(self._encoded(["ab", ".", "c", "d"])[0]).tolist():
+            raise ValueError("this tokenizer keeps case or white space")
 
     def _cut(self, texts: pa.Array) -> pa.ListArray:
         """The words of each text, in Arrow; where white space is dropped, so are case and spaces (only Latin-1 is
@@ -65,10 +70,15 @@ class WordEncoder:
         else:
             odd = pc.match_substring_regex(texts, _IRREGULAR)
             words = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, "\n", "\0\n"), " ", "\0 "), "\0")
+        if self.special:
+            odd = pc.or_(odd, pc.match_substring_regex(texts, self.special))
         if not pc.any(odd).as_py():
             return words
         own = zip(odd.to_pylist(), texts.to_pylist(), words.to_pylist(), strict=True)
-        return pa.array([words_of(t) if o else w for o, t, w in own], type=pa.list_(pa.string()))
+        return pa.array([(([t] if self._is_special(t) else words_of(t)) if o else w) for o, t, w in own], type=pa.list_(pa.string()))
+
+    def _is_special(self, text: str) -> bool:
+        return bool(self.special and re.search(self.special, text))
 
     def _forget(self) -> None:
         self.index: dict[str, int] = {}
@@ -106,7 +116,7 @@ class WordEncoder:
         """Take in new words. Those that begin a match wherever they stand are joined and encoded many at once."""
         joins, apart = [], []
         for w in words:
-            (joins if len(w) <= JOIN_CHARS and w.strip() and (self.between or w[0] in " \n") else apart).append(w)
+            (joins if len(w) <= JOIN_CHARS and w.strip() and (self.between or w[0] in " \n") and not self._is_special(w) else apart).append(w)
         parts = [joins[i : i + JOINED] for i in range(0, len(joins), JOINED)]
         ids, spans = self._encoded([self.between.join(p) for p in parts])
         counts = []

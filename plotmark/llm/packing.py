@@ -27,15 +27,15 @@ def _word_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t
+    return Tokenizer.from_file(path)
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
     """Per piece of a document's ids (those of its whole text, then ``end_id``): doc_id, piece, start, length and
     ids_crc32. Only documents of more than ``capacity`` ids have several; null text counts as empty, and an
-    empty document is one piece of one id."""
+    empty document is one piece of one id. Ids are those of ``Tokenizer.from_file(path).encode(text,
+    add_special_tokens=False)``, with the ids of special tokens where a text holds their strings. The tokenizer must
+    drop case and white space; others are refused."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(_word_tokenizer(path), bare=True)
@@ -82,10 +82,11 @@ def _best_configuration(value: np.ndarray, capacity: int) -> dict[int, int]:
     return out
 
 
-def configurations(count: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
+def configurations(count: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[dict[int, int], float]], float]:
     """A fractional solution of: fewest sequences so that the configurations cover ``count[l]`` pieces of each
-    length l. Each round prices lengths by their weight, adds the best configuration as an equal share of the
-    volume bound, and lowers the weights of what it covers."""
+    length l; and a lower bound of that number. Each round prices lengths by their weight, adds the best configuration as
+    an equal share of the volume bound, and lowers the weights of what it covers. Prices over the value of their best
+    configuration are feasible in the dual program, whose largest value is the bound."""
     lengths = np.flatnonzero(count)
     bound = float((lengths * count[lengths]).sum()) / capacity
     share = max(bound, 1.0) / rounds
@@ -96,11 +97,12 @@ def configurations(count: np.ndarray, capacity: int, rounds: int = ROUNDS) -> li
         due = covered[lengths] / count[lengths]
         value[lengths] = lengths / capacity * np.exp(-np.clip(due - due.min(), 0, 4))
         own = _best_configuration(value, capacity)
+        bound = max(bound, float((value[lengths] * count[lengths]).sum()) / sum(value[k] * n for k, n in own.items()))
         for k, n in own.items():
             covered[k] += n * share
         key = tuple(sorted(own.items(), reverse=True))
         found[key] = found.get(key, 0.0) + share
-    return [(dict(k), x) for k, x in sorted(found.items(), key=lambda kx: -kx[1])]
+    return [(dict(k), x) for k, x in sorted(found.items(), key=lambda kx: -kx[1])], bound
 
 
 def plan(count: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[list[tuple[int, int]], int]]:
@@ -110,7 +112,7 @@ def plan(count: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[l
     splits at most one group for each placement."""
     left = count.astype(np.int64).copy()
     groups: list[list] = []  # space, contents, number
-    for own, share in configurations(count, capacity, rounds) if left.any() else []:
+    for own, share in configurations(count, capacity, rounds)[0] if left.any() else []:
         n = min(int(np.ceil(share)), min(int(left[k]) // a for k, a in own.items()))
         if n > 0:
             for k, a in own.items():
@@ -204,7 +206,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> D
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Tokenise and pack whole documents; see ``token_pieces`` and ``pack``."""
+    """Tokenise and pack whole documents; see ``token_pieces`` and ``pack``. A null id is passed on, repeated rows are each
+    packed, an empty table gives an empty result, and other columns are ignored."""
     return pack(token_pieces(docs, path or public_vocabulary("word_bpe_49k.json"), capacity), capacity)
 
 

@@ -33,15 +33,19 @@ def test_ids_are_those_of_tiktoken_and_offsets_cover_the_text(text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(TEXTS, min_size=1, max_size=5))
-def test_bare_words_give_the_ids_of_whole_texts(texts):
+@given(st.lists(st.one_of(TEXTS, st.lists(st.sampled_from(["<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "Hello", " ", "\n", "world.", "<|"]), max_size=8).map("".join)), min_size=1, max_size=5))
+def test_bare_words_give_the_ids_of_the_plain_call(texts):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     ids, counts, _ = bpe.WordEncoder(t, bare=True).encode(pa.array(texts))
     want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
     assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
 
 
+def test_tokenizers_that_keep_case_or_white_space_are_refused():
+    with pytest.raises(ValueError):
+        bpe.WordEncoder(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), bare=True)
+
+
 def test_round_trip_of_odd_documents(odd_docs, no_docs):
     encoded = bpe.encode_bytes(odd_docs, PATH, public_tokenizers.PATTERN)
     texts = sorted((r.text or "") for r in odd_docs.collect())

@@ -39,6 +39,16 @@ def test_plans_hold_every_piece_and_little_air(histogram):
             got[k] += a * n
     assert (got == count).all()
     assert bins <= 1.1 * first_fit_decreasing(histogram, 64) + 1
+    if histogram:
+        _, bound = packing.configurations(count, 64, rounds=30)
+        assert sum(k * n for k, n in histogram.items()) / 64 - 1e-9 <= bound <= bins + 1e-9
+
+
+def test_the_bound_sees_what_volume_does_not():
+    count = np.zeros(65, dtype=np.int64)
+    count[33] = 100  # two of them never fit together
+    found, bound = packing.configurations(count, 64)
+    assert bound == pytest.approx(100) and sum(n for _, n in packing.plan(count, 64)) == 100
 
 
 def first_fit_decreasing(histogram, capacity):
@@ -53,6 +63,14 @@ def first_fit_decreasing(histogram, capacity):
     return len(spaces)
 
 
+def test_special_strings_have_the_ids_of_the_plain_call(spark):
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["hello <|endoftext|> world", "Hello <|ENDOFTEXT|> world", "a<|startoftext|>b", "plain words here"]
+    got = {r.doc_id: r.ids_crc32 for r in packing.token_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json")).collect()}
+    assert got == {i: zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4").tobytes()) for i, x in enumerate(texts)}
+    assert t.encode(texts[0], add_special_tokens=False).ids == [3306, 49407, 1002]
+
+
 def test_pieces_against_the_tokenizer(spark, odd_docs):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rows = packing.pack_documents(odd_docs).collect()
