@@ -20,75 +20,162 @@ from plotmark.llm.common import thinned
 PATH_DIM, WORD_DIM, MORE = 64, 48, 4  # hashed tag path, hashed words, plain numbers
 HIDDEN = 20  # of each direction
 SAMPLE = 240  # pages that the fit sees at most
-SAMPLE_BLOCKS = 120  # blocks of such a page that it sees at most
+WINDOW = 120  # blocks in a row, from anywhere in such a page, that it sees at most
+GENERATED = 160  # pages of made-up words that it sees where no page marks its article
 EPOCHS, RATE, BATCH = 8, 0.01, 32
 CELLS = 60_000  # blocks, with padding, that are labelled together
 
 #: Elements that HTML lays out inside a line, and elements without content or end.
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text.
+#: Elements whose content is no text, those among them that may close themselves, and those that run to the end of the page.
 OPAQUE = frozenset("script style noscript template svg math iframe object canvas".split())
+FOREIGN = frozenset("svg math".split())
+RAW = frozenset("script style".split())
 #: Elements that end an open one of the same kind when they begin.
 ENDS_OWN = frozenset("p li dt dd tr td th option".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPENS = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_REST = re.compile(r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+>")
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
+class Open:
+    """An open element: its name and the words of its class, id and role, inside its parent. Depth and hashed path are
+    those of its chain without inline elements, computed once, so that deep pages cost no more than flat ones."""
+
+    __slots__ = ("element", "parent", "inline", "linked", "depth", "_hashed")
+
+    def __init__(self, element: tuple[str, ...], parent: Open | None) -> None:
+        self.element, self.parent, self.inline = element, parent, element[0] in INLINE
+        self.linked = element[0] == "a" or (parent is not None and parent.linked)
+        self.depth = (parent.depth if parent else 0) + (not self.inline)
+        self._hashed: np.ndarray | None = None
+
+    def hashed(self) -> np.ndarray:
+        chain, x = [], self
+        while x is not None and x._hashed is None:
+            chain.append(x)
+            x = x.parent
+        for own in reversed(chain):
+            total = own.parent._hashed if own.parent else np.zeros(PATH_DIM, dtype=np.float32)
+            if not own.inline:
+                total = total.copy()
+                for i, word in enumerate(own.element):
+                    at, sign = _slot(("name " if i else "tag ") + word, PATH_DIM)
+                    total[at] += sign
+            own._hashed = total
+        return self._hashed
+
+
+def opened(path: tuple[tuple[str, ...], ...]) -> Open | None:
+    """The innermost element of a path from the outermost on."""
+    at = None
+    for element in path:
+        at = Open(element, at)
+    return at
+
+
 @dataclass
 class Block:
-    """A run of text between block elements: its whole text, its path (element and names of each open one) and how
-    many of its characters are in links."""
+    """A run of text between block elements: its whole text, the element that it is in and how many of its characters are
+    in links."""
 
     text: str
-    path: tuple[tuple[str, ...], ...]
+    within: Open | None
     linked: int
 
+    @property
+    def path(self) -> tuple[tuple[str, ...], ...]:
+        """Element and names of each open element that is not inline, from the outermost on."""
+        out, x = [], self.within
+        while x is not None:
+            if not x.inline:
+                out.append(x.element)
+            x = x.parent
+        return tuple(reversed(out))
+
 
 def blocks_of(page: str | None) -> list[Block]:
-    """The blocks of a page in order, with character references decoded and white space as single spaces."""
+    """The blocks of a page in order, with character references decoded and white space as single spaces.
+
+    The time is linear in the page's length, whatever it holds. A tag runs to its ``>`` outside quotes; where quotes never
+    close, they count for nothing from there on. A comment, declaration or tag without an end is no text, nor what
+    follows; the same holds for scripts and styles, while other elements without text that have no end are skipped
+    alone.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, ...]] = []
+    top: Open | None = None
+    count: dict[str, int] = {}
     parts: list[tuple[str, bool]] = []
+    endless: set[str] = set()
+    quotes = True
     start = 0
 
     def flush() -> None:
         text = " ".join("".join(p for p, _ in parts).split())
         if text:
-            path = tuple(x for x in stack if x[0] not in INLINE)
-            out.append(Block(text, path, sum(len(p.strip()) for p, link in parts if link)))
+            out.append(Block(text, top, sum(len(p.strip()) for p, link in parts if link)))
         parts.clear()
 
     def take(raw: str) -> None:
         if raw:
-            parts.append((html.unescape(raw), any(x[0] == "a" for x in stack)))
+            parts.append((html.unescape(raw), top is not None and top.linked))
 
     page = page or ""
-    while m := _TOKEN.search(page, start):
+    while m := _OPENS.search(page, start):
         take(page[start : m.start()])
-        start = m.end()
-        if not (name := (m[1] or "").lower()):
+        name = (m[4] or "").lower()
+        if m[1]:
+            end = page.find("-->", m.end())
+            start = end + 3 if end >= 0 else len(page)
             continue
-        closing = m[0].startswith("</")
-        if name in OPAQUE and not closing:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, start)
-            start = end.end() if end else len(page)
+        rest = _REST.match(page, m.end()) if name and quotes else None
+        if rest:
+            start = rest.end()
+        else:
+            quotes = quotes and not name
+            end = page.find(">", m.end())
+            start = end + 1 if end >= 0 else len(page)
+            if end < 0:
+                break
+        if not name:
+            continue
+        held = page[m.end() : start - 1]
+        if name in OPAQUE and not m[3]:
+            if name in FOREIGN and held.endswith("/") or name in endless:
+                continue
+            if end := re.compile(rf"</{name}\s*>", re.I).search(page, start):
+                start = end.end()
+            elif name in RAW:
+                start = len(page)
+            else:
+                endless.add(name)
             continue
         if name == "br":
             parts.append((" ", False))
             continue
         if name not in INLINE:
             flush()
-        if closing:
-            if any(x[0] == name for x in stack):
-                while stack.pop()[0] != name:
-                    pass
-        elif name not in VOID and not m[2].rstrip().endswith("/"):
-            if name in ENDS_OWN and (own := [i for i, x in enumerate(stack) if x[0] == name]) and all(x[0] in INLINE for x in stack[own[-1] + 1 :]):
-                del stack[own[-1] :]
-            names = [w.lower() for g in _NAMED.findall(m[2]) for w in re.split(r"[\s_-]+", "".join(g[1:])) if w]
-            stack.append((name, *names))
+        if m[3]:
+            while count.get(name):
+                count[top.element[0]] -= 1
+                done, top = top.element[0] == name, top.parent
+                if done:
+                    break
+        elif name not in VOID and not held.rstrip().endswith("/"):
+            if name in ENDS_OWN:
+                own, over = top, []
+                while own is not None and own.inline:
+                    over.append(own)
+                    own = own.parent
+                if own is not None and own.element[0] == name:
+                    for x in (*over, own):
+                        count[x.element[0]] -= 1
+                    top = own.parent
+            names = [w.lower() for g in _NAMED.findall(held) for w in re.split(r"[\s_-]+", "".join(g[1:])) if w]
+            top = Open((name, *names), top)
+            count[name] = count.get(name, 0) + 1
     take(page[start:])
     flush()
     return out
@@ -103,17 +190,15 @@ def _slot(word: str, size: int) -> tuple[int, float]:
 def features(blocks: list[Block]) -> np.ndarray:
     x = np.zeros((len(blocks), PATH_DIM + WORD_DIM + MORE), dtype=np.float32)
     for row, b in zip(x, blocks, strict=True):
-        for element in b.path:
-            for word in element:
-                at, sign = _slot(("name " if word is not element[0] else "tag ") + word, PATH_DIM)
-                row[at] += sign
+        if b.within is not None:
+            row[:PATH_DIM] = b.within.hashed()
         words = b.text.lower().split()
         for w in words:
             at, sign = _slot(w, WORD_DIM)
             row[PATH_DIM + at] += sign
         own = row[PATH_DIM : PATH_DIM + WORD_DIM]
         own /= max(1.0, float(np.sqrt((own * own).sum())))
-        row[-4:] = np.log1p(len(words)) / 5, min(1.0, b.linked / len(b.text)), len(b.path) / 10, 1.0
+        row[-4:] = np.log1p(len(words)) / 5, min(1.0, b.linked / len(b.text)), (b.within.depth if b.within else 0) / 10, 1.0
     return x
 
 
@@ -252,46 +337,78 @@ def varied(blocks: list[Block], labels: list[bool], draw: np.random.Generator) -
                 words = blocks[int(draw.integers(len(blocks)))].text.split()
                 first = int(draw.integers(len(words)))
                 text = " ".join(words[first : first + int(draw.integers(1, 30))])
-                out.append((Block(text, path, len(text) * int(draw.integers(2))), False))
+                out.append((Block(text, opened(path), len(text) * int(draw.integers(2))), False))
 
     furniture(int(draw.integers(0, 4)), False)
     for b, label in zip(blocks, labels, strict=True):
         if label:
-            inner = b.path[max((i + 1 for i, x in enumerate(b.path) if x[0] in ("article", "main")), default=len(b.path) - 1) :]
-            out.append((Block(b.text, (*root, article, *inner), b.linked), True))
+            path = b.path
+            inner = path[max((i + 1 for i, x in enumerate(path) if x[0] in ("article", "main")), default=len(path) - 1) :]
+            out.append((Block(b.text, opened((*root, article, *inner)), b.linked), True))
             if draw.random() < 0.08:
                 furniture(1, True)
-        elif b.path and b.path[0][0] != "html" or draw.random() < 0.5:
+        elif draw.random() < 0.5:
             out.append((b, False))
     furniture(int(draw.integers(0, 4)), False)
     return [b for b, _ in out], [label for _, label in out]
 
 
+def generated(draw: np.random.Generator) -> tuple[list[Block], list[bool]]:
+    """A page of made-up words in a common dress."""
+
+    def words(n: int) -> str:
+        return " ".join("".join(draw.choice(list("aeiourstlnmd"), int(draw.integers(2, 10)))) for _ in range(n))
+
+    text = [words(int(draw.integers(2, 9)))] + [words(int(draw.integers(8, 60))) for _ in range(int(draw.integers(1, 8)))]
+    kinds = ["h1", *str(draw.choice(["p", "p", "p", "div", "li"])).split() * (len(text) - 1)]
+    blocks = [Block(t, opened((("html",), ("body",), ("article",), (k,))), 0) for t, k in zip(text, kinds, strict=True)]
+    return varied(blocks, [True] * len(blocks), draw)
+
+
 def fit_labeller(pages: DataFrame, sample: int = SAMPLE, id_col: str = "page_id", html_col: str = "html") -> BlockLabeller:
     """Fit the labeller to at most ``sample`` pages (by the hash of their ids) that mark their article, each as it is
-    and in two other dresses; the weak labels come from that markup."""
-    marked = thinned(pages, id_col, sample).filter(F.lower(html_col).rlike("<(article|main)[ >]"))
-    drawn = marked.select(F.col(id_col).cast("string").alias("id"), F.col(html_col).alias("html")).orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    and in two other dresses; the weak labels come from that markup. Of a page of more than ``WINDOW`` blocks it sees so
+    many in a row, from anywhere in it: at most 3 times ``sample`` times ``WINDOW`` labelled blocks and the furniture of
+    the dresses.
+
+    Where no page marks its article (or there is no page at all) it learns from dresses alone: ``GENERATED`` pages of
+    made-up words, and the paragraphs of the sampled pages (eight words or more, mostly outside links), put into elements
+    that are common for articles and surrounded by common furniture.
+    """
+    shows = F.col(html_col).rlike(r"(?i)<(article|main)[\s>/]|articlebody")
+
+    def drawn(some: DataFrame) -> list:
+        own = thinned(some, id_col, sample).select(F.col(id_col).cast("string").alias("id"), F.col(html_col).alias("html"))
+        return own.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+
     draw = np.random.default_rng(11)
-    known = []
-    for r in drawn:
-        blocks = blocks_of(r["html"])[:SAMPLE_BLOCKS]
-        if not blocks:
-            continue
-        labels = [teacher(b.path) for b in blocks]
-        for own, label in [(blocks, labels), varied(blocks, labels, draw), varied(blocks, labels, draw)]:
-            if own:
-                known.append((features(own), np.array(label)))
+    known: list[tuple[list[Block], list[bool]]] = []
+
+    def some_of(html_text: str | None) -> list[Block]:
+        blocks = blocks_of(html_text)
+        first = int(draw.integers(max(1, len(blocks) - WINDOW + 1)))
+        return blocks[first : first + WINDOW]
+
+    for r in drawn(pages.filter(shows)):
+        if blocks := some_of(r["html"]):
+            labels = [teacher(b.path) for b in blocks]
+            known += [(blocks, labels), varied(blocks, labels, draw), varied(blocks, labels, draw)]
+    if not any(any(labels) for _, labels in known):
+        known = [generated(draw) for _ in range(GENERATED)]
+        for r in drawn(pages):
+            prose = [b for b in some_of(r["html"]) if len(b.text.split()) >= 8 and b.linked < 0.3 * len(b.text)]
+            if prose:
+                known += [varied(prose, [True] * len(prose), draw) for _ in range(2)]
     labeller = BlockLabeller()
-    if known:
-        labeller.fit(known)
+    labeller.fit([(features(blocks), np.array(labels)) for blocks, labels in known if blocks])
     return labeller
 
 
 def main_text(pages: DataFrame, labeller: BlockLabeller, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Per page: page_id, n_blocks, n_kept and text: the blocks that are labelled as the article, in page order, joined by
-    one space. Every block of the whole page is read; null html is empty and gives an empty text, as does a page
-    without an article. Rows stay as they are; other columns are ignored."""
+    one space. Every block of the whole page is read, however long or malformed it is (see ``blocks_of``); null html is
+    empty and gives an empty text, as does a page without an article. Rows stay as they are, with null or repeated ids; an
+    empty table gives an empty result; other columns are ignored."""
     held = pages.sparkSession.sparkContext.broadcast(labeller)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

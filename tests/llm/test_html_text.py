@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -63,3 +65,49 @@ def test_malformed_pages():
     for page in ("<", "<p", "</p></div>", "<div><p>a</div>b", "<!--", "<script>x", "a<b>c<i>d</b>e", "<p class='x>y", "&#xD800;&bogus;"):
         ht.blocks_of(page)
     assert [b.text for b in ht.blocks_of("a<br>b<p>c</p>d")] == ["a b", "c", "d"]
+
+
+def test_elements_that_close_themselves_hide_nothing():
+    texts = lambda page: [b.text for b in ht.blocks_of(page)]
+    assert texts("<main><p>first</p><svg width=1 /><p>second</p><math/><p>third</p></main>") == ["first", "second", "third"]
+    assert texts("<p>a</p><svg><text>no</text></svg><p>b</p><svg><p>c</p><canvas><p>d") == ["a", "b", "c", "d"]
+    assert texts("<p>a<script>x") == ["a"]
+    assert texts('<p title="a>b">c</p><p title="d>e</p><p>f') == ["c", "e", "f"]
+
+
+@pytest.mark.parametrize("part", ["<a ", '<p class="x', "<svg>", "<div>", "</b>", "<!-", "<li><b>", "&amp;", "<p title='>", "<a href=\"'\"> "])
+def test_long_malformed_pages_take_linear_time(part):
+    began = time.process_time()
+    blocks = ht.blocks_of(part * (1_000_000 // len(part)) + "<p>end of it")
+    ht.features(blocks[:1000])
+    assert time.process_time() - began < 20
+
+
+STORY = [("Storm over the old harbour", "The boats had been tied up since noon and nobody went out to sea again before the week was over.", "In the morning the pier was gone, and with it the small red house of the harbour master."), ("A new bridge for the valley", "After nine years of planning the council has agreed to build it where the ferry used to cross.", "Work begins in spring and should take no longer than two summers, the engineer said on Monday.")]
+
+
+def unmarked(i, title, *text):
+    return f"<html><body><div class=menu><ul><li><a href=/>Home</a></li><li><a href=/n>News {i}</a></li></ul></div><div class=story><h1>{title}</h1>{''.join(f'<p>{t}</p>' for t in text)}</div><div class=footer>Contact us about page {i}</div></body></html>"
+
+
+def test_pages_that_mark_nothing(spark):
+    """Labelled by hand: the teacher finds no article in them."""
+    rows = [(i, unmarked(i, *STORY[i % 2])) for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    assert not any(ht.teacher(b.path) for b in ht.blocks_of(rows[0][1]))
+    got = {r.page_id: r.text for r in ht.main_text(pages, ht.fit_labeller(pages)).collect()}
+    assert got == {i: " ".join(STORY[i % 2]) for i in range(6)}
+    none = ht.fit_labeller(pages.limit(0))
+    assert {r.page_id: r.text for r in ht.main_text(pages, none).collect()} == got
+
+
+def test_the_few_marked_pages_are_found(spark):
+    rows = [(i, unmarked(i, *STORY[i % 2])) for i in range(3000)] + [(5000, PAGE)]
+    seen = []
+    known = ht.BlockLabeller.fit
+    try:
+        ht.BlockLabeller.fit = lambda self, pages, seed=3: seen.append(len(pages))
+        ht.fit_labeller(spark.createDataFrame(rows, "page_id long, html string"))
+    finally:
+        ht.BlockLabeller.fit = known
+    assert seen == [3]
