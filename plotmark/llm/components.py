@@ -23,19 +23,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
 
 
+def _unsettled(edges: DataFrame) -> bool:
+    """Whether any id has two larger-to-smaller edges, or is an end of both kinds."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("ups")).union(edges.select(F.col("b").alias("id"), F.lit(0).alias("ups")))
+    count = ends.groupBy("id").agg(F.sum("ups").alias("ups"), F.min("ups").alias("least"))
+    return not count.filter("ups > 1 or (ups = 1 and least = 0)").isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) of ids to (id, root): for each id with an edge to another, the smallest id it is connected to.
 
     Alternates large and small star steps, each a partial aggregate and a join on thin rows, and writes the edges
-    to the shared folder after each round; the number of rounds grows with the logarithm of the longest path. Edges with a null or to themselves count for
+    to the shared folder after each round, until every id has one edge, to its root; the number of rounds grows with the
+    logarithm of the longest path, and edges that are stars need none. Edges with a null or to themselves count for
     nothing; an empty table gives an empty one.
     """
-    edges = materialise(edges.select("a", "b").filter("a <> b").distinct(), "edges")
-    seen = None
-    while True:
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen or not now[0]:
-            break
-        seen = now
+    edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    while _unsettled(edges):
         edges = materialise(_small_star(_large_star(edges)).filter("a <> b").distinct(), "edges")
-    return edges.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("root"))
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))

@@ -122,8 +122,9 @@ def _prefix(depth: int) -> Column:
 
 
 def _neighbour_edges(tries: DataFrame, depth: int, slots: int, least: float, kind: str) -> DataFrame:
-    """(a, b): labels next to each other in a sorted trie, which are those with the longest common prefixes, if it has
-    ``depth`` values and the signatures agree in a share of ``least``. A range partitioning deals out the sorted tries, so
+    """(a, b): labels next to each other in a sorted trie, which are those with the longest common prefixes, if these have
+    ``depth`` values and the signatures agree in a share of ``least``; a run of such labels has one edge from each to
+    its smallest. A range partitioning deals out the sorted tries, so
     that no task gets more than others however many labels are alike."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,15 +136,22 @@ def _neighbour_edges(tries: DataFrame, depth: int, slots: int, least: float, kin
             if held:
                 own = [np.concatenate(x) for x in zip(held, own, strict=True)]
             ids, tree, label, check = own
-            high, low = [], []
+            near = []
             for back in range(1, min(NEIGHBOURS, len(ids) - 1) + 1):
                 same = np.flatnonzero((tree[back:] == tree[:-back]) & (label[back:] == label[:-back]).all(axis=1)) + back
-                near = same[(check[same] == check[same - back]).sum(axis=1) >= least * slots]
-                high.append(np.maximum(ids[near], ids[near - back]))
-                low.append(np.minimum(ids[near], ids[near - back]))
+                near.append(same[(check[same] == check[same - back]).sum(axis=1) >= least * slots])
             held = [x[-NEIGHBOURS:] for x in own]
-            if high:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(high)), pa.array(np.concatenate(low))], ["a", "b"])
+            if not near:
+                continue
+            starts = np.setdiff1d(np.arange(len(ids)), near[0])
+            run = np.searchsorted(starts, np.arange(len(ids)), side="right") - 1
+            lowest = np.minimum.reduceat(ids, starts)[run]
+            high, low = [ids], [lowest]
+            for back, at in enumerate(near[1:], 2):
+                high.append(lowest[at])
+                low.append(lowest[at - back])
+            high, low = np.concatenate(high), np.concatenate(low)
+            yield pa.RecordBatch.from_arrays([pa.array(high[high != low]), pa.array(low[high != low])], ["a", "b"])
 
     order = ("tree", "label", "rep")
     rows = tries.select("rep", "tree", "label", "check").repartitionByRange(*order).sortWithinPartitions(*order)
