@@ -3,7 +3,7 @@ estimated success, the candidates of all tables merged and ranked by exact inner
 
 from __future__ import annotations
 
-import itertools
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,13 +13,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plotmark.llm.common import key_runs, materialise, thinned
+from plotmark.llm.common import list_column, materialise, thinned
 
 TABLES, WIDTH = 4, 1.5  # hash tables, and the width of a cell in standard deviations
-HASHES, ROWS_AT, MORE_AT, MOST_HASHES = 4, 50_000, 4, 8  # one hash more for each MORE_AT-fold of ROWS_AT rows
+HASHES, ROWS_AT, MORE_AT = 4, 50_000, 4  # one hash more for each MORE_AT-fold of ROWS_AT rows
+PROBES = 256  # buckets of a table that a query visits at most; if they don't give the recall, there are fewer hashes
 SAMPLE, RECALL = 64, 0.96  # queries whose true neighbours set the number of probes, and the recall they must reach
-BLOCK = 4096  # vectors of a bucket that are compared together
-HELD = 1_000_000  # results that a task holds before it keeps the best of each query
+SHARD, ASKED = 4096, 1024  # vectors, and queries, that are compared together
+
+
+def probe_sets(hashes: int, n: int) -> np.ndarray:
+    """The first ``n`` sets of boundaries to cross, as rows of 0 and 1 over a query's boundaries by distance, by the sum of
+    their expected squared distances: the less a query must move, the likelier a neighbour is there. Crossing both
+    boundaries of one hash is no set; the first set is empty. (After the multi-probe sequence of Lv et al., 2007: sets
+    are generated in order from a heap, so that the 3 ** hashes of them are never listed.)"""
+    m = hashes
+    j = np.arange(1, m + 1)
+    near = j * (j + 1) / (4 * (m + 1) * (m + 2))
+    i = np.arange(m, 0, -1)
+    cost = np.concatenate([near, 1 - i / (m + 1) + i * (i + 1) / (4 * (m + 1) * (m + 2))])
+    out = [np.zeros(2 * m, dtype=np.int8)]
+    heap = [(cost[0], (0,))] if m else []
+    while heap and len(out) < n:
+        total, own = heapq.heappop(heap)
+        if all(2 * m - 1 - x not in own for x in own):
+            out.append(np.isin(np.arange(2 * m), own).astype(np.int8))
+        if own[-1] + 1 < 2 * m:
+            more = own[-1] + 1
+            heapq.heappush(heap, (total - cost[own[-1]] + cost[more], (*own[:-1], more)))
+            heapq.heappush(heap, (total + cost[more], (*own, more)))
+    return np.stack(out)
 
 
 @dataclass
@@ -29,27 +52,31 @@ class Hashes:
     directions: np.ndarray  # tables, hashes, dimensions + 1
     shifts: np.ndarray
     width: float
-    probes: int
+    sets: np.ndarray
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         """Positions in units of cells: rows, tables, hashes."""
         return (np.einsum("nd,lkd->nlk", x, self.directions) + self.shifts) / self.width
 
     def keys(self, cells: np.ndarray) -> np.ndarray:
-        """A 64-bit key of each bucket, given whole cells."""
-        h = np.broadcast_to(np.arange(1, cells.shape[1] + 1, dtype=np.int64)[None, :] * 0x51ED270B, cells.shape[:2]).copy()
+        """A 64-bit key of each bucket, given whole cells (rows, tables, ..., hashes)."""
+        tables = np.arange(1, cells.shape[1] + 1, dtype=np.int64) * 0x51ED270B
+        h = np.broadcast_to(tables.reshape(1, -1, *[1] * (cells.ndim - 3)), cells.shape[:-1]).copy()
         for i in range(cells.shape[-1]):
             h = (h ^ (cells[..., i].astype(np.int64) + 0x9E37)) * np.int64(0x5851F42D4C957F2D)
             h ^= h >> 29
         return h
 
-    def order(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All steps to neighbouring cells, and for each row and table the rank of each step: the less the query must
-        move to enter the cells, the likelier a neighbour is there."""
-        steps = np.array(list(itertools.product((-1, 0, 1), repeat=cells.shape[-1])))
+    def visits(self, x: np.ndarray, first: int = 0, last: int | None = None) -> np.ndarray:
+        """Keys of the buckets that queries visit, in order: rows, tables, probes."""
+        cells = self.cells(x)
         past = cells - np.floor(cells)
-        cost = ((steps == -1)[None, None] * (past**2)[:, :, None, :] + (steps == 1)[None, None] * ((1 - past) ** 2)[:, :, None, :]).sum(-1)
-        return steps, cost.argsort(axis=-1, kind="stable")
+        order = np.concatenate([past, 1 - past], axis=-1).argsort(axis=-1, kind="stable")  # rows, tables, boundaries
+        m = cells.shape[-1]
+        way = np.zeros((*order.shape, m), dtype=np.int8)
+        np.put_along_axis(way, (order % max(m, 1))[..., None], np.where(order < m, -1, 1).astype(np.int8)[..., None], axis=-1)
+        steps = np.einsum("pb,nlbk->nlpk", self.sets[first:last], way)
+        return self.keys(np.floor(cells)[:, :, None, :] + steps)
 
 
 def _matrix(column: pa.Array, dimensions: int) -> np.ndarray:
@@ -103,10 +130,15 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col
 
     Every vector is in one bucket of each table, every query visits the same number of buckets in each: as many as
     a sample of ``SAMPLE`` queries needs to find ``recall`` of their true neighbours (found by brute force, against
-    all rows). The number of hashes grows with the rows. Of rows with the same vector only the ``k`` + 1 of the
+    all rows). The number of hashes grows with the rows; where ``PROBES`` buckets of each table don't give the recall, there
+    is one hash less, and so on down to none, which is exact search. Of rows with the same vector only the ``k`` + 1 of the
     smallest ids can be among anyone's nearest, so no more are hashed, and equal queries search once: results
-    stay whole. Buckets of more than ``BLOCK`` vectors are split, and tasks keep the best of each query, of later buckets
-    only what reaches the query's best so far.
+    stay whole.
+
+    Buckets are gathered in shards. A query's vector goes once to every shard that has buckets of its, with their list; a
+    shard of more than ``SHARD`` vectors or ``ASKED`` queries is split both ways, so a task holds no more than that
+    however many meet in a bucket. Queries visit their likeliest buckets first, and of later ones only what reaches their
+    best so far is sent on. The few whose buckets hold fewer than ``k`` others are compared with all vectors.
 
     Defined cases: null ids, and vectors that are null, zero, of another length than most, or hold a null or
     non-finite component take no part, as query or candidate; with fewer than ``k`` candidates all that are found
@@ -130,103 +162,147 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col
     squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     facts = data.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max(squares)).alias("norm")).first()
 
-    functions = min(MOST_HASHES, HASHES + max(0, int(np.log(max(facts["n"], 1) / ROWS_AT) / np.log(MORE_AT))))
-    draw = np.random.default_rng(17)
-    directions = draw.normal(size=(TABLES, functions, d + 1))
-    width = WIDTH  # projections of unit vectors on such directions have a standard deviation of 1
-    hashes = Hashes(directions, draw.uniform(0, width, size=(TABLES, functions)), width, 1)
-    hashes.probes = _probes_for(data, queries, hashes, facts["norm"], d, k, recall)
-    shared = spark.sparkContext.broadcast((hashes, facts["norm"]))
-    vector_type = rows.schema["vector"].dataType.simpleString()
+    hashes = _fitted(data, queries, facts["n"], facts["norm"], d, k, recall)
+    best = Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
+
+    def top(found: DataFrame) -> DataFrame:
+        """The k + 1 best of each query, with their place."""
+        once = found.groupBy("rep", "vec_id").agg(F.max("score").alias("score"))
+        return once.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1)
+
+    def floors(found: DataFrame) -> DataFrame:
+        """Queries with the least score that reaches their best so far; null if they have fewer than k + 1."""
+        reached = found.filter(F.col("place") == k + 1).select(F.col("rep").alias("vec_id"), F.col("score").alias("floor"))
+        return queries.join(reached, "vec_id", "left")
+
+    # The likeliest buckets come first; what they give is the least that those after them must reach to be sent on.
+    search, probes = _searcher(data, hashes, facts["n"], facts["norm"], d, k), len(hashes.sets)
+    early = max(1, probes // 8)
+    found = materialise(top(search(queries.withColumn("floor", F.lit(float("-inf"))), 0, early)), "early")
+    if early < probes:
+        asked = floors(found).withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        found = materialise(top(found.drop("place").unionByName(search(asked, early, probes))), "found")
+    # Queries whose buckets hold too few are compared with all vectors.
+    short = floors(found).filter("floor is null").withColumn("floor", F.lit(float("-inf")))
+    if len(hashes.directions[0]) and not short.isEmpty():
+        whole = _searcher(data, _hashes(0, 1, d), facts["n"], facts["norm"], d, k)
+        found = top(found.drop("place").unionByName(whole(short, 0, 1)))
+    own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    answers = members.join(found, "rep").filter("vec_id <> query_id").withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k)
+    return answers.select("query_id", "rank", "vec_id", "score")
+
+
+def _searcher(data: DataFrame, hashes: Hashes, n: int, norm: float, d: int, k: int):
+    """A function of queries (vec_id, vector, floor) and the first and last probe that they make: (rep, vec_id, score) of the
+    best in these buckets, those of each block of a shard."""
+    tables = len(hashes.directions)
+    shards = max(1, -(-n * tables // SHARD))
+    shared = data.sparkSession.sparkContext.broadcast((hashes, norm))
+    vector_type = data.schema["vector"].dataType.simpleString()
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, norm = shared.value
         for b in batches:
-            keys = hashes.keys(np.floor(hashes.cells(_lifted(_matrix(b.column(1), d), norm, False))))
-            at = pa.array(np.repeat(np.arange(b.num_rows), TABLES))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), b.column(0).take(at), b.column(1).take(at)], ["bucket", "vec_id", "vector"])
+            keys = hashes.keys(np.floor(hashes.cells(_lifted(_matrix(b.column(1), d), norm, False)))).ravel()
+            at = pa.array(np.repeat(np.arange(b.num_rows), tables))
+            own = list_column(keys, np.ones(len(keys), np.int32), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(keys % shards), own, *(c.take(at) for c in b.columns)], ["shard", "buckets", "vec_id", "vector"])
 
     def visits(first: int, last: int):
-        """The buckets that a query visits from its ``first`` up to its ``last``."""
+        """The shards and buckets that a query visits from its ``first`` up to its ``last`` probe of each table."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, norm = shared.value
             for batch in batches:
                 for b in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
-                    cells = hashes.cells(_lifted(_matrix(b.column(1), d), norm, True))
-                    steps, order = hashes.order(cells)
-                    probed = np.floor(cells)[:, :, None, :] + steps[order[:, :, first:last]]
-                    keys = hashes.keys(probed.transpose(0, 2, 1, 3).reshape(-1, *cells.shape[1:]))
-                    at = pa.array(np.repeat(np.arange(b.num_rows), probed.shape[2] * TABLES))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(c.take(at) for c in b.columns)], ["bucket", "vec_id", "vector", "floor"])
+                    keys = hashes.visits(_lifted(_matrix(b.column(1), d), norm, True), first, last).reshape(b.num_rows, -1)
+                    of = np.repeat(np.arange(b.num_rows), keys.shape[1])
+                    order = np.lexsort((keys.ravel() % shards, of))
+                    of, keys = of[order], keys.ravel()[order]
+                    begins = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (keys[1:] % shards != keys[:-1] % shards)]))
+                    own = list_column(keys, np.diff(np.append(begins, len(keys))), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[begins] % shards), own, *(c.take(pa.array(of[begins])) for c in b.columns)], ["shard", "buckets", "vec_id", "vector", "floor"])
 
         return run
 
-    fields = f"bucket long, vec_id long, vector {vector_type}"
+    fields = f"shard long, buckets array<long>, vec_id long, vector {vector_type}"
     placed = data.mapInArrow(buckets, fields)
-    large = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    large = materialise(large, "large")
-    parts = F.coalesce("parts", F.lit(1))
-    placed = placed.join(large, "bucket", "left").withColumns({"part": F.pmod(F.xxhash64("vec_id"), parts), "floor": F.lit(None).cast("double")})
+    sizes = materialise(placed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("parts")), "sizes")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        n = 0
-
-        def kept() -> tuple[np.ndarray, ...]:
-            q, v, s = (np.concatenate(x) for x in zip(*held, strict=True))
-            own = _best(q, v, s, k + 1)
-            return q[own], v[own], s[own]
-
-        for run in key_runs(batches, "block"):
-            floor, ids = run.column("floor").to_numpy(), run.column("vec_id").to_numpy()
-            asks = ~np.isnan(floor)
-            if asks.all() or not asks.any():
-                continue
-            x = _matrix(run.column("vector").combine_chunks(), d)
-            own, others = np.flatnonzero(asks), np.flatnonzero(~asks)
-            for i in range(0, len(own), 512):
-                some = own[i : i + 512]
-                q, v, s = _compare(x[some], x[others], ids[others], k + 1, floor[some])
-                held.append((ids[some][q], v, s))
-                n += len(q)
-            if n > HELD:
-                held = [kept()]
-                n = len(held[0][0]) // 2
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in kept()], ["rep", "vec_id", "score"])
-
-    best = Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
+        block, held, sealed = None, [], None
+        for batch in batches:
+            keys, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            change = np.flatnonzero((keys[1:] != keys[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for i, j in zip([0, *change], [*change, batch.num_rows], strict=True):
+                if i == j:
+                    continue
+                if keys[i] != block:
+                    block, held, sealed = keys[i], [], None
+                if not asks[i]:
+                    held.append(batch.slice(i, j - i))
+                    continue
+                if sealed is None:
+                    if not held:
+                        continue
+                    t = pa.Table.from_batches(held)
+                    bucket = t.column("buckets").combine_chunks().flatten().to_numpy()
+                    order = np.argsort(bucket, kind="stable")
+                    sealed, held = (bucket[order], t.column("vec_id").to_numpy()[order], _matrix(t.column("vector").combine_chunks(), d)[order]), []
+                for lo in range(i, j, 512):
+                    yield from _answers(batch.slice(lo, min(512, j - lo)), sealed, d, k + 1)
 
     def visited(asked: DataFrame, first: int, last: int) -> DataFrame:
-        """(rep, vec_id, score) of the best in these buckets, those of each task."""
-        asking = asked.mapInArrow(visits(first, last), f"{fields}, floor double").join(large, "bucket", "left")
-        asking = asking.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long"))))
-        both = placed.unionByName(asking).select(F.xxhash64("bucket", "part").alias("block"), "vec_id", "vector", "floor")
-        return both.repartition("block").sortWithinPartitions("block").mapInArrow(search, "rep long, vec_id long, score double")
-
-    # The likeliest buckets come first; what they give is the least that those after them must reach to be sent on.
-    early = max(1, hashes.probes // 8)
-    start = queries.withColumn("floor", F.lit(float("-inf")))
-    first = materialise(visited(start, 0, early).groupBy("rep", "vec_id").agg(F.max("score").alias("score")), "early")
-    found = first
-    if early < hashes.probes:
-        reached = first.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1).filter(F.col("place") == k + 1)
-        floors = queries.join(reached.select(F.col("rep").alias("vec_id"), F.col("score").alias("floor")), "vec_id", "left")
-        more = visited(floors.select("vec_id", "vector", F.coalesce("floor", F.lit(float("-inf"))).alias("floor")), early, hashes.probes)
-        found = first.unionByName(more).groupBy("rep", "vec_id").agg(F.max("score").alias("score"))
-    found = found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1)
-    own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    answers = members.join(found, "rep").filter("vec_id <> query_id").withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k)
-    return answers.select("query_id", "rank", "vec_id", "score")
-
+        asking = materialise(asked.mapInArrow(visits(first, last), f"{fields}, floor double"), "visits")
+        counted = asking.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("slices"))
+        both = materialise(sizes.join(counted, "shard"), "grid")
+        at = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        own = placed.join(both, "shard").select("*", at(F.col("parts")).alias("part"), every("slices").alias("slice")).withColumns({"asks": F.lit(False), "floor": F.lit(None).cast("double")})
+        theirs = asking.join(both, "shard").select("*", at(F.col("slices")).alias("slice"), every("parts").alias("part")).withColumn("asks", F.lit(True))
+        rows = own.unionByName(theirs).select(F.xxhash64("shard", "part", "slice").alias("block"), "asks", "buckets", "vec_id", "vector", "floor")
+        return rows.repartition("block").sortWithinPartitions("block", "asks").mapInArrow(search, "rep long, vec_id long, score double")
+
+    return visited
+
+
+def _answers(asked: pa.RecordBatch, data: tuple[np.ndarray, np.ndarray, np.ndarray], d: int, k: int) -> Iterator[pa.RecordBatch]:
+    """The ``k`` best of each query among the vectors, sorted by bucket, of the buckets that it visits."""
+    bucket, ids, vectors = data
+    lists = asked.column(2)
+    keys = lists.flatten().to_numpy()
+    of = np.repeat(np.arange(asked.num_rows), lists.value_lengths().to_numpy())
+    order = np.argsort(keys, kind="stable")
+    keys, of = keys[order], of[order]
+    x, reps, floor = _matrix(asked.column(4), d), asked.column(3).to_numpy(), asked.column(5).to_numpy()
+    found: list[tuple[np.ndarray, ...]] = []
+    begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    for i, j in zip(begins, [*begins[1:], len(keys)], strict=True):
+        lo, hi = np.searchsorted(bucket, keys[i], "left"), np.searchsorted(bucket, keys[i], "right")
+        if lo < hi:
+            some = of[i:j]
+            q, v, score = _compare(x[some], vectors[lo:hi], ids[lo:hi], k, floor[some])
+            found.append((reps[some][q], v, score))
+    if found:
+        q, v, score = (np.concatenate(f) for f in zip(*found, strict=True))
+        own = _best(q, v, score, k)
+        yield pa.RecordBatch.from_arrays([pa.array(f[own]) for f in (q, v, score)], ["rep", "vec_id", "score"])
+
+
+def _hashes(hashes: int, probes: int, d: int) -> Hashes:
+    draw, tables = np.random.default_rng(17), TABLES if hashes else 1
+    directions = draw.normal(size=(tables, hashes, d + 1))  # projections of unit vectors have a standard deviation of 1
+    return Hashes(directions, draw.uniform(0, WIDTH, size=(tables, hashes)), WIDTH, probe_sets(hashes, probes))
+
+
+def _fitted(data: DataFrame, queries: DataFrame, n: int, norm: float, d: int, k: int, recall: float) -> Hashes:
+    """Hash functions with as many buckets to visit in each table as a sample of queries needs to find ``recall`` of their
+    true neighbours, which are found by comparing the sample with all rows."""
+    hashes = HASHES + max(0, int(np.log(max(n, 1) / ROWS_AT) / np.log(MORE_AT)))
 
-def _probes_for(data: DataFrame, queries: DataFrame, hashes: Hashes, norm: float, d: int, k: int, recall: float) -> int:
-    """How many buckets a query must visit in each table so that a sample of queries finds ``recall`` of their true
-    neighbours, which are found by comparing the sample with all rows."""
     drawn = thinned(queries, "vec_id", SAMPLE).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     if not drawn:
-        return 1
+        return _hashes(0, 1, d)
     ids, x = np.array([r["vec_id"] for r in drawn]), np.array([r["vector"] for r in drawn], dtype=np.float64)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,18 +318,17 @@ def _probes_for(data: DataFrame, queries: DataFrame, hashes: Hashes, norm: float
     truth = truth.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1).collect()
     truth = [r for r in truth if r["vec_id"] != ids[r["q"]]]
     if not truth:
-        return 1
-    cells = hashes.cells(_lifted(x, norm, True))
-    steps, order = hashes.order(cells)
-    ranks = order.argsort(axis=-1)
-    there = np.floor(hashes.cells(_lifted(np.array([r["vector"] for r in truth], dtype=np.float64), norm, False)))
-    q = np.array([r["q"] for r in truth])
-    moves = there - np.floor(cells)[q]
-    code = ((moves + 1) @ (3 ** np.arange(moves.shape[-1])[::-1])).astype(int)
-    reached = (np.abs(moves) <= 1).all(axis=-1)
-    rank = np.where(reached, np.take_along_axis(ranks[q], np.where(reached, code, 0)[..., None], axis=-1)[..., 0], len(steps))
-    needed = np.sort(rank.min(axis=1))[min(len(rank) - 1, int(np.ceil(recall * len(rank))))]
-    return int(min(needed + 1, len(steps)))
+        return _hashes(0, 1, d)
+    q, there = np.array([r["q"] for r in truth]), _lifted(np.array([r["vector"] for r in truth], dtype=np.float64), norm, False)
+    while hashes:
+        tried = _hashes(hashes, PROBES, d)
+        same = tried.visits(_lifted(x, norm, True))[q] == tried.keys(np.floor(tried.cells(there)))[:, :, None]
+        rank = np.where(same.any(axis=2), same.argmax(axis=2), PROBES).min(axis=1)
+        needed = int(np.sort(rank)[min(len(rank) - 1, int(np.ceil(recall * len(rank))))])
+        if needed < PROBES:
+            return _hashes(hashes, needed + 1, d)
+        hashes -= 1
+    return _hashes(0, 1, d)
 
 
 def op7_ann(spark, sf_dir: str) -> DataFrame:
