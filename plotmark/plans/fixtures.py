@@ -40,9 +40,9 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def later_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two later rounds: of every ten documents one is changed, one the same, one without an upload id; a day later half of
-    the changed ones change again and the others come unchanged."""
-    u = uploads(spark, sf_dir).filter("doc_id % 10 < 3")
+    """Two later rounds of all documents: of every ten one is changed, one without an upload id, the others the same; a day
+    later half of the changed ones change again and the others come unchanged."""
+    u = uploads(spark, sf_dir)
     kind = F.col("doc_id") % 10
     again = F.when(F.col("doc_id") % 20 == 0, " revised again").when(kind == 0, " revised").otherwise("")
     first = u.withColumn("body", F.concat("body", F.when(kind == 0, " revised").otherwise("")))
@@ -98,7 +98,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = vectors(spark, sf_dir).filter("vec_id < 20")
+    v = vectors(spark, sf_dir).filter("vec_id % 50 = 0")
     return v.select(F.concat(F.lit("q"), "chunk_id").alias("query_id"), "address_id", F.lit(3).alias("k"), F.col("embedding").alias("vector"))
 
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from plotmark.operators.lexical import STOP_WORDS
 from plotmark.operators.status import RETRYABLE
-from plotmark.plans.base_sql import CHUNKS, CONVERSATIONS, DOCS, EMBEDDED, JOBS, LATER, SEGMENTS, SPACES, UPLOADS, chunk_sql
+from plotmark.plans.base_sql import CHUNKS, CONVERSATIONS, DOCS, EMBEDDED, INGEST, JOBS, LATER, SEGMENTS, SPACES, UPLOADS, chunk_sql
 
 _DOTS = "'[0-9]+\\.[0-9]+|[\\p{L}\\p{N}]+'"
 _QUERIES = "q AS (SELECT CAST(item_id AS VARCHAR) AS query_id, 'src' || (item_id % 20) AS address_id, array_to_string(string_split(text, ' ')[1:{n}], ' ') AS query_text, 8 AS k FROM benchmark)"
 _IN_FLIGHT = "('pending', 'extracting', 'chunking', 'embedding')"
 _VECTORS = "e AS (SELECT CAST(vec_id AS VARCHAR) AS chunk_id, 'addr-' || label AS address_id, embedding, vec_id, label FROM embeddings)"
 _NEAR = f"""{_VECTORS},
-near AS (SELECT 'q' || q.chunk_id AS query_id, e.chunk_id, round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) AS distance FROM e q JOIN e USING (label) WHERE q.vec_id < 20),
+near AS (SELECT 'q' || q.chunk_id AS query_id, e.chunk_id, round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) AS distance FROM e q JOIN e USING (label) WHERE q.vec_id % 50 = 0),
 top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS INT) AS vector_rank FROM near QUALIFY vector_rank <= 12)"""
 _MODELS = """names AS (SELECT ['hash:feature-', 'openai:text-embedding-3-large', 'gemini:gemini-embedding-001', 'selfhosted:bge-', 'openai:text-embedding-', 'other:x-', 'hash'] AS listed),
 m AS (SELECT listed[p_partkey % 7 + 1] || CASE WHEN listed[p_partkey % 7 + 1] LIKE '%-' THEN CAST(p_size AS VARCHAR) ELSE '' END AS model_id, p_partkey AS id FROM part, names)"""
@@ -57,6 +57,9 @@ ORACLES: dict[str, str] = {
 SELECT coalesce(d.document_id, p.document_id) AS document_id, coalesce(d.address_id, p.address_id) AS address_id, coalesce(d.upload_id, p.upload_id) AS upload_id, coalesce(p.content_hash, d.content_hash) AS content_hash,
   'store/address=' || coalesce(d.address_id, p.address_id) || '/doc=' || coalesce(d.upload_id, p.upload_id) || '/original' AS storage_ref, coalesce(p.filename, d.filename) AS original_name, CASE WHEN d.document_id IS NULL THEN 0 ELSE 1 END AS live_version
 FROM d FULL JOIN p ON d.document_id = p.document_id""",
+    "ingest_job": f"""WITH {INGEST} SELECT address_id, upload_id, doc_version, CASE WHEN state = 'skipped' THEN 'skipped' WHEN pdf THEN 'failed' ELSE 'done' END AS state,
+      CASE WHEN state = 'pending' AND NOT pdf THEN windows END AS chunk_count, CASE WHEN state = 'pending' AND NOT pdf THEN windows ELSE 0 END AS embedding_delta,
+      CASE WHEN state = 'pending' AND pdf THEN 'extract' END AS failed_step, upload_ts AS ts FROM ingested""",
     "accepted_uploads": f"WITH {LATER} SELECT document_id, address_id, upload_id, content_hash, doc_version, state, 'hash:feature-64' AS model_id FROM g",
     "paragraphs": f"WITH {SEGMENTS} SELECT document_id, page_number, CAST(paragraph_index AS INT) AS paragraph_index, text FROM seg",
     "page_markers": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)

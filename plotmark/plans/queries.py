@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from plotmark.functions.text import key_id
 from plotmark.operators import audit, chunking, embedding, gate, lexical, lifecycle, search, segments, status
 from plotmark.plans import fixtures as fx
-from plotmark.sources.storage import dataset_name, storage_ref
+from plotmark.sources.storage import dataset_name, shared_dir, storage_ref, stored
 from plotmark.streaming import jobs as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,19 +26,6 @@ def _gated(s: SparkSession, d: str) -> DataFrame:
     return gate.gate_uploads(fx.documents(s, d), accepted)
 
 
-def _scratch(s: SparkSession, name: str) -> str:
-    """A new folder in the cluster's shared folder, or a local one where there is none."""
-    root = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a stored table, as an index keeps it: searches read it several times."""
-    path = _scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _embeddings(c: DataFrame) -> DataFrame:
     v = embedding.hash_embedding_md5(c, fx.DIM)
     return c.select("chunk_id", "address_id").join(v, "chunk_id").select("chunk_id", "address_id", F.lit(fx.MODEL).alias("model_id"), F.lit(fx.DIM).alias("dim"), "embedding")
@@ -62,8 +48,8 @@ def content_hash(s: SparkSession, d: str) -> DataFrame:
 
 def address_upsert(s: SparkSession, d: str) -> DataFrame:
     accepted, _ = gate.validate_uploads(fx.uploads(s, d))
-    stored = accepted.filter("length(address_id) = 4").groupBy("address_id").agg(F.concat(F.lit("Known "), F.first("address_id")).alias("display_name"), F.min("upload_ts").alias("created_at"))
-    return gate.upsert_addresses(stored, accepted).select("address_id", "display_name")
+    known = accepted.filter("length(address_id) = 4").groupBy("address_id").agg(F.concat(F.lit("Known "), F.first("address_id")).alias("display_name"), F.min("upload_ts").alias("created_at"))
+    return gate.upsert_addresses(known, accepted).select("address_id", "display_name")
 
 
 def upload_gate(s: SparkSession, d: str) -> DataFrame:
@@ -127,9 +113,9 @@ def chunk_provenance(s: SparkSession, d: str) -> DataFrame:
 
 
 def version_chunks(s: SparkSession, d: str) -> DataFrame:
-    stored = fx.chunks(s, d)
-    new = stored.filter(F.substring("document_id", 1, 1) < "4").filter("ordinal < 2").withColumn("text", F.concat(F.lit("new "), "text"))
-    return chunking.version_chunks(chunking.replace_version_chunks(stored, new), new).select("document_id", "ordinal", "text")
+    old = fx.chunks(s, d)
+    new = old.filter(F.substring("document_id", 1, 1) < "4").filter("ordinal < 2").withColumn("text", F.concat(F.lit("new "), "text"))
+    return chunking.version_chunks(chunking.replace_version_chunks(old, new), new).select("document_id", "ordinal", "text")
 
 
 def hash_embedding_md5(s: SparkSession, d: str) -> DataFrame:
@@ -163,16 +149,16 @@ def _simple_embeddings(s: SparkSession, d: str, model: str, scale: float = 1.0)
 
 
 def embedding_upsert(s: SparkSession, d: str) -> DataFrame:
-    stored = _simple_embeddings(s, d, "old").filter("vec_id % 3 <> 0").drop("vec_id")
+    old = _simple_embeddings(s, d, "old").filter("vec_id % 3 <> 0").drop("vec_id")
     new = _simple_embeddings(s, d, "new").filter("vec_id % 2 = 0").drop("vec_id")
-    both = [embedding.upsert_embeddings(stored, new, how).select("chunk_id", "model_id", F.lit(how).alias("how")) for how in ("update", "nothing")]
+    both = [embedding.upsert_embeddings(old, new, how).select("chunk_id", "model_id", F.lit(how).alias("how")) for how in ("update", "nothing")]
     return both[0].unionByName(both[1])
 
 
 def model_registry(s: SparkSession, d: str) -> DataFrame:
     models = embedding.parse_models(_models(s, d).select("model_id").distinct()).filter("dim is not null").select("model_id", "dim", _now().alias("created_at"))
-    stored = models.filter("dim = 3072").select("model_id", F.lit(9).alias("dim"), F.lit("kept").alias("table_name"), "created_at")
-    return embedding.register_models(stored, models).select("model_id", "dim", "table_name")
+    known = models.filter("dim = 3072").select("model_id", F.lit(9).alias("dim"), F.lit("kept").alias("table_name"), "created_at")
+    return embedding.register_models(known, models).select("model_id", "dim", "table_name")
 
 
 def dataset_names(s: SparkSession, d: str) -> DataFrame:
@@ -188,7 +174,7 @@ def vector_topk(s: SparkSession, d: str) -> DataFrame:
 
 
 def lsh_topk(s: SparkSession, d: str) -> DataFrame:
-    return search.hyperplane_topk(fx.vector_queries(s, d), fx.vectors(s, d), 64)
+    return search.hyperplane_topk(fx.vector_queries(s, d), fx.vectors(s, d))
 
 
 def live_chunks(s: SparkSession, d: str) -> DataFrame:
@@ -197,8 +183,8 @@ def live_chunks(s: SparkSession, d: str) -> DataFrame:
 
 
 def vector_search(s: SparkSession, d: str) -> DataFrame:
-    c = _stored(fx.chunks(s, d), "chunks")
-    found = search.vector_search(_asked(s, d), c, fx.documents(s, d), _stored(_embeddings(c), "embeddings"))
+    c = stored(fx.chunks(s, d), "chunks")
+    found = search.vector_search(_asked(s, d), c, fx.documents(s, d), stored(_embeddings(c), "embeddings"))
     return found.select("query_id", "address_id", "rank", "score", "citation.chunk_id", "citation.original_name")
 
 
@@ -231,9 +217,19 @@ def rrf(s: SparkSession, d: str) -> DataFrame:
     return search.fuse(v, t).withColumn("score", F.round("score", 9))
 
 
+def index_tables(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks, embeddings and postings as stored tables."""
+    c = stored(fx.chunks(s, d), "chunks")
+    return c, stored(_embeddings(c), "embeddings"), stored(_postings(c), "postings")
+
+
+def search_index(s: SparkSession, d: str, index: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    chunks, embeddings, postings = index
+    return search.hybrid_search(_asked(s, d), chunks, fx.documents(s, d), embeddings, postings, "simple")
+
+
 def _hybrid(s: SparkSession, d: str) -> DataFrame:
-    c = _stored(fx.chunks(s, d), "chunks")
-    return search.hybrid_search(_asked(s, d), c, fx.documents(s, d), _stored(_embeddings(c), "embeddings"), _stored(_postings(c), "postings"), "simple")
+    return search_index(s, d, index_tables(s, d))
 
 
 def hybrid_search(s: SparkSession, d: str) -> DataFrame:
@@ -247,8 +243,8 @@ def examined(s: SparkSession, d: str) -> DataFrame:
 def query_job(s: SparkSession, d: str) -> DataFrame:
     embed = lambda q: embedding.hash_embedding_md5(q, fx.DIM, "query_id", "query_text").withColumnRenamed("embedding", "vector")
     asked = fx.queries(s, d).withColumn("address_id", F.when(F.col("query_id").cast("int") % 5 == 0, "nowhere").otherwise(F.col("address_id"))).withColumn("k", F.when(F.col("query_id").cast("int") % 7 == 0, 200))
-    c = _stored(fx.chunks(s, d), "chunks")
-    _, log, _ = search.query_job(asked, c, fx.documents(s, d), _stored(_embeddings(c), "embeddings"), _stored(_postings(c), "postings"), embed, fx.MODEL, _now(), "simple")
+    c = stored(fx.chunks(s, d), "chunks")
+    _, log, _ = search.query_job(asked, c, fx.documents(s, d), stored(_embeddings(c), "embeddings"), stored(_postings(c), "postings"), embed, fx.MODEL, _now(), "simple")
     return log.select("query_id", "address_id", "model_id", "candidates_examined", "chunks_returned")
 
 
@@ -272,7 +268,7 @@ def remove_cascade(s: SparkSession, d: str) -> DataFrame:
 
 
 def missing_embeddings(s: SparkSession, d: str) -> DataFrame:
-    c = _stored(fx.chunks(s, d), "chunks")
+    c = stored(fx.chunks(s, d), "chunks")
     have = c.filter("ordinal % 3 = 0").select("chunk_id")
     return lifecycle.missing_embeddings(c, fx.documents(s, d), have).select("chunk_id", "address_id")
 
@@ -289,8 +285,8 @@ def rebuild(s: SparkSession, d: str) -> DataFrame:
 
 def config_upsert(s: SparkSession, d: str) -> DataFrame:
     o = fx.table(s, d, "orders").select(F.concat(F.lit("key-"), "o_custkey").alias("key"), F.col("o_orderkey").cast("string").alias("value"), (F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(secs=F.col("o_orderkey"))).alias("updated_at"), "o_orderkey")
-    stored = lifecycle.seed_config(o.filter("o_orderkey % 2 = 0").drop("o_orderkey").limit(0), o.filter("o_orderkey % 2 = 0").groupBy("key").agg(F.max_by("value", "updated_at").alias("value"), F.max("updated_at").alias("updated_at")))
-    return lifecycle.set_config(stored, o.filter("o_orderkey % 2 = 1").drop("o_orderkey")).select("key", "value")
+    seeded = lifecycle.seed_config(o.filter("o_orderkey % 2 = 0").drop("o_orderkey").limit(0), o.filter("o_orderkey % 2 = 0").groupBy("key").agg(F.max_by("value", "updated_at").alias("value"), F.max("updated_at").alias("updated_at")))
+    return lifecycle.set_config(seeded, o.filter("o_orderkey % 2 = 1").drop("o_orderkey")).select("key", "value")
 
 
 def rebuild_active(s: SparkSession, d: str) -> DataFrame:
@@ -317,7 +313,7 @@ def failure_outcome(s: SparkSession, d: str) -> DataFrame:
 
 
 def missing_by_address(s: SparkSession, d: str) -> DataFrame:
-    c = _stored(fx.chunks(s, d), "chunks")
+    c = stored(fx.chunks(s, d), "chunks")
     have = c.filter("ordinal % 3 = 0").select("chunk_id")
     return status.missing_by_address(c, fx.documents(s, d), have)
 
@@ -367,7 +363,7 @@ def audit_domain(s: SparkSession, d: str) -> DataFrame:
 
 def _stream_folder(s: SparkSession, df: DataFrame, name: str) -> tuple[str, str]:
     """``df`` as files to stream from, and a place for checkpoints and results."""
-    base = _scratch(s, f"stream-{name}")
+    base = f"{shared_dir(s)}/stream-{name}-{uuid.uuid4().hex}"
     df.write.parquet(f"{base}/in")
     s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return f"{base}/in", base

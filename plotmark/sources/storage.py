@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,25 @@ TYPES = {
 }
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster's machines share, which ``spark.checkpoint.dir`` names. Only on a single machine, where
+    every folder is shared, there is a new one under /tmp if it is unset."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        path = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a new table in the shared folder, read back: computed once, safe from lost executors, of known size."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_uploads_partitioned(spark: SparkSession, root: str) -> DataFrame:
     """Uploads under ``address=<id>/doc=<upload>/original``: address_id and upload_id come from the folders."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "original").load(root)

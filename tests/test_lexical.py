@@ -24,7 +24,7 @@ def test_cover_density(positions, lexemes, rank):
         ("caresses", "caress"), ("ponies", "poni"), ("ties", "tie"), ("cats", "cat"), ("gas", "gas"), ("hopping", "hop"), ("hoping", "hope"), ("agreed", "agre"),
         ("relational", "relat"), ("conditional", "condit"), ("generally", "general"), ("happy", "happi"), ("say", "say"), ("by", "by"), ("skies", "sky"),
         ("dying", "die"), ("news", "news"), ("proceed", "proceed"), ("adjustment", "adjust"), ("effective", "effect"), ("controlling", "control"), ("knightly", "knight"),
-        ("consistency", "consist"), ("setbacks", "setback"), ("heritage", "heritag"), ("communication", "communic"), ("national", "nation"), ("running", "run"), ("étude", "étude"),
+        ("consistency", "consist"), ("lanterns", "lantern"), ("village", "villag"), ("communication", "communic"), ("national", "nation"), ("running", "run"), ("étude", "étude"),
     ],
 )
 def test_stems(word, stem):
@@ -32,11 +32,11 @@ def test_stems(word, stem):
 
 
 def test_lexemes_and_matches(spark):
-    texts = spark.createDataFrame([("c1", "a", "The front setback is 6.5 m"), ("c2", "a", "Setbacks of the side"), ("c3", "b", "front setback"), ("c4", "a", None)], "chunk_id string, address_id string, text string")
+    texts = spark.createDataFrame([("c1", "a", "The tall lighthouse is 31.5 m"), ("c2", "a", "Lighthouses of the west"), ("c3", "b", "tall lighthouse"), ("c4", "a", None)], "chunk_id string, address_id string, text string")
     own = lexical.lexemes(texts, "english", ("chunk_id", "address_id"))
     got = {(r.chunk_id, r.lexeme): r.positions for r in own.collect()}
-    assert got[("c1", "setback")] == [3] and got[("c1", "6.5")] == [5] and ("c1", "the") not in got and got[("c2", "setback")] == [1]
-    queries = spark.createDataFrame([("q1", "a", "front setbacks"), ("q2", "a", "the"), ("q3", "b", "side")], "query_id string, address_id string, query_text string")
+    assert got[("c1", "lighthous")] == [3] and got[("c1", "31.5")] == [5] and ("c1", "the") not in got and got[("c2", "lighthous")] == [1]
+    queries = spark.createDataFrame([("q1", "a", "tall lighthouses"), ("q2", "a", "the"), ("q3", "b", "west")], "query_id string, address_id string, query_text string")
     matches = lexical.match_all(own, lexical.query_lexemes(queries))
     assert {(r.query_id, r.chunk_id) for r in matches.collect()} == {("q1", "c1")}
     assert lexical.rank_matches(matches).first().text_rank == pytest.approx(0.1)

@@ -1,9 +1,11 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from plotmark.operators import search
+from plotmark.plans import fixtures
 
 
 def test_cosine_distance(spark):
@@ -18,8 +20,12 @@ def test_vector_topk_ranks_within_the_address(spark):
     got = search.vector_topk(q, e).orderBy("vector_rank").collect()
     assert [r.chunk_id for r in got] == ["c0", "c1", "c2", "c3"] and math.isnan(got[-1].distance)
     assert search.vector_topk(q, e, depth=2).count() == 2
-    joined = search.vector_topk(q, e, query_bytes=0).orderBy("vector_rank").collect()
+    joined = search.vector_topk(q, e, query_bytes=60).orderBy("vector_rank").collect()
     assert [r.chunk_id for r in joined] == [r.chunk_id for r in got] and joined[:3] == got[:3]
+    more = q.union(spark.createDataFrame([(f"q{i}", "b", 1, [0.5, float(i)]) for i in range(5)] + [("long", "a", 1, [1.0, 2.0, 3.0])], q.schema))
+    rows = e.union(spark.createDataFrame([("c9", "b", None), ("c8", "b", [1.0])], e.schema))
+    at_once, sliced = (sorted(map(str, search.vector_topk(more, rows, query_bytes=n).collect())) for n in (10_000, 100))
+    assert at_once == sliced and len(sliced) == 9
 
 
 def test_fusion_sums_reciprocal_ranks(spark):
@@ -35,10 +41,18 @@ def test_hyperplanes_find_most_of_the_true_neighbours(spark):
     e = spark.createDataFrame([(f"c{i}", "a", v.tolist()) for i, v in enumerate(x)], "chunk_id string, address_id string, embedding array<float>")
     q = spark.createDataFrame([(f"q{i}", "a", 2, x[i].tolist()) for i in range(20)], "query_id string, address_id string, k int, vector array<float>")
     exact = {(r.query_id, r.chunk_id) for r in search.vector_topk(q, e).collect()}
-    near = {(r.query_id, r.chunk_id) for r in search.hyperplane_topk(q, e, 32).collect()}
+    near = {(r.query_id, r.chunk_id) for r in search.hyperplane_topk(q, e).collect()}
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_hyperplanes_find_most_neighbours_on_the_given_vectors(spark, sf):
+    """Of all queries, of which a quarter set the number of probes; and as many rows as exact search gives."""
+    q, e = fixtures.vector_queries(spark, f"/root/testdata/{sf}"), fixtures.vectors(spark, f"/root/testdata/{sf}")
+    exact, near = search.vector_topk(q, e).collect(), search.hyperplane_topk(q, e, sample=q.count() // 4 or 1)
+    assert near.count() == len(exact) and search.recall_of(near, spark.createDataFrame(exact)).first().recall >= 0.9
+
+
 def test_only_live_versions(spark):
     chunks = spark.createDataFrame([("c1", "d", 1), ("c2", "d", 2), ("c3", "e", 0), ("c4", "x", 1)], "chunk_id string, document_id string, doc_version int")
     docs = spark.createDataFrame([("d", 2), ("e", 0)], "document_id string, live_version int")
