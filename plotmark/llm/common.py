@@ -2,32 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is named (tests), one of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+from plotmark.sources.storage import stored
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: cuts the lineage, survives
     lost executors, and gives the planner true sizes for its join choices."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plotmark-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)  # its buffers, unlike others, are not left to the garbage collector
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, f"plotmark-{name}")
 
 
 def docs_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
