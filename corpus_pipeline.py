@@ -2,6 +2,10 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir), works on every row its predecessor kept
 and returns a DataFrame, of the columns of ``documents`` in all stages but the last.
+
+In every stage an empty table gives an empty one, columns besides id and text may be null, and rows are rows: those
+without an id, and those that repeat an id with the same or another text, are each judged by themselves and keep their own
+columns.
 """
 
 from __future__ import annotations
@@ -11,12 +15,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotmark.llm.common import materialise, shared_dir
+from plotmark.llm.common import materialise
 from plotmark.llm.language_id import UNDETERMINED, fit_language_model, held_out, predict_language
 from plotmark.llm.line_dedup import line_dedup
 from plotmark.llm.ngram_join import ngram_join
 from plotmark.llm.packing import pack_documents
 from plotmark.llm.pii import redact_pii
+from plotmark.sources.storage import shared_dir
 
 LEAST_SCORE = 0.5  # calibrated probability of the language below which a document is rejected
 
@@ -27,8 +32,8 @@ def _sized(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or in no language that is known with some certainty, go; lang becomes the
-    predicted one."""
+    """Documents without letters, or in no language that is known with some certainty, go (so do null and empty texts); lang becomes the
+    predicted one. The model learns from rows with an id and a lang; without any, no language is known and all go."""
     model = fit_language_model(docs.filter(~held_out() & F.col("doc_id").isNotNull()))
     told = predict_language(docs, model).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
     return told.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
@@ -40,7 +45,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines are cut out of the texts; documents of which nothing is left go."""
+    """Recurring lines are cut out of the texts; documents of which nothing is left go. Null text becomes empty, and has no
+    recurring line; texts are whole, however long."""
     keyed = _keyed(docs)
     cleaned = line_dedup(keyed, id_col="row_key").select(F.col("doc_id").alias("row_key"), F.col("text").alias("cleaned"), "n_dropped")
     joined = keyed.join(cleaned.hint("merge"), "row_key").filter((F.col("n_dropped") == 0) | (F.trim("cleaned") != ""))
@@ -48,7 +54,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents one row with the smallest id stays; a null id comes after all others."""
+    """Of each group of linked documents one row with the smallest id stays; a null id comes after all others, and of rows
+    with one id any one. Null and blank texts are linked with none and stay."""
     keyed = _keyed(docs)
     classes = ngram_join(keyed, id_col="row_key").select(F.col("doc_id").alias("row_key"), "class_id")
     named = keyed.select("row_key", "doc_id").join(classes.hint("merge"), "row_key")
@@ -58,12 +65,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data are replaced by their kind."""
+    """Personal data are replaced by their kind, in every row; null text stays null or becomes empty."""
     return _sized(redact_pii(docs), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences: the pieces of all documents with their places."""
+    """Sequences: the pieces of all rows with their places; null and empty texts are one piece of one id."""
     return pack_documents(docs)
 
 
