@@ -375,7 +375,8 @@ def fit_labeller(pages: DataFrame, sample: int = SAMPLE, id_col: str = "page_id"
     made-up words, and the paragraphs of the sampled pages (eight words or more, mostly outside links), put into elements
     that are common for articles and surrounded by common furniture.
     """
-    shows = F.col(html_col).rlike(r"(?i)<(article|main)[\s>/]|articlebody")
+    low = F.lower(html_col)
+    shows = F.contains(low, F.lit("<article")) | F.contains(low, F.lit("<main")) | F.contains(low, F.lit("articlebody"))
 
     def drawn(some: DataFrame) -> list:
         own = thinned(some, id_col, sample).select(F.col(id_col).cast("string").alias("id"), F.col(html_col).alias("html"))
