@@ -1,4 +1,6 @@
-from plotmark.llm.licenses import license_scan
+import textwrap
+
+from plotmark.llm.licenses import TEMPLATES, license_scan
 
 
 def test_notices_and_inheritance(spark):
@@ -37,3 +39,32 @@ def test_a_license_at_the_root_reaches_all(spark):
 
 def test_no_files(spark):
     assert license_scan(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
+
+
+def test_license_files_headers_and_tags(spark):
+    prose = "a little program that counts the boats in every harbour of the northern coast and prints their names " * 6
+    wrapped = lambda text, mark="": "\n".join(mark + x for x in textwrap.wrap(text, 70))
+    mit = TEMPLATES["MIT"][1].replace("MIT License Copyright (c) ", "MIT License\n\nCopyright (c) 2021 Some Harbour Trust\n\n").replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")
+    rows = [
+        (1, "m/LICENSE", "\n\n".join(wrapped(b) for b in mit.split("\n\n"))),
+        (2, "m/src/a.py", prose),
+        (3, "b3/LICENSE", wrapped(TEMPLATES["BSD-3-Clause"][1])),
+        (4, "b2/LICENSE", wrapped(TEMPLATES["BSD-2-Clause"][1])),
+        (5, "g/a.c", f"/*\n{wrapped(TEMPLATES['GPL-3.0'][1], ' * ')}\n */\n\nint boats; {prose}"),
+        (6, "l/a.c", f"{wrapped(TEMPLATES['LGPL-3.0'][1], '// ')}\n\n{prose}"),
+        (7, "s/a.rs", f"// SPDX-License-Identifier: Apache-2.0\n{prose}"),
+        (8, "g2/COPYING", f"GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n\n{prose}"),
+        (9, "n/a.py", prose),
+        (10, "long/a.py", prose * 2000),
+    ]
+    rows += [(20 + i, f"p{i}/x", f"{prose} {i}\n\n{prose}") for i in range(30)]
+    got = {r.doc_id: r for r in license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert {i: got[i].effective_license for i in range(1, 11)} == {1: "MIT", 2: "MIT", 3: "BSD-3-Clause", 4: "BSD-2-Clause", 5: "GPL-3.0", 6: "LGPL-3.0", 7: "Apache-2.0", 8: "GPL-2.0", 9: None, 10: None}
+    assert (got[1].scope, got[2].how, got[3].scope, got[5].scope, got[7].scope, got[7].line, got[8].scope) == ("file", "inherited", "block", "block", "line", 0, "block")
+    assert not any(got[20 + i].effective_license for i in range(30))
+
+
+def test_ties_and_unlike_texts_under_one_id(spark):
+    rows = [(1, "a/x", "All rights reserved.\nReleased under the MIT License.\nAll rights reserved."), (2, "b/x", "nothing of note"), (2, "b/x", "Released under the MIT License.")]
+    got = license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()
+    assert sorted((r.doc_id, r.license, r.line) for r in got) == [(1, "Proprietary", 0), (2, "MIT", 0), (2, "MIT", 0)]
