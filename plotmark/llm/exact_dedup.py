@@ -29,8 +29,8 @@ def exact_dedup(
 
     Rows are grouped by the 128-bit ``digest`` and, inside it, by the bytes themselves, so a collision splits
     into groups of its own. The grouping is a partial aggregate: a text that a third of all rows share leaves
-    each task as one row. The rows then find their group by the digest alone (16 bytes); only where the
-    digests are seen to collide do they carry the text as well.
+    each task as one row. The rows then find their group by the digest alone (16 bytes); only those
+    of digests that are seen to collide carry the text as well.
 
     Defined cases: null text is the empty text; empty texts are equal; a null id never stays unless all ids
     of the group are null; rows repeated with the same id and text are each marked kept; an empty table gives
@@ -42,12 +42,14 @@ def exact_dedup(
     stays = F.max("doc_id") if keep == "max" else F.min("doc_id")
     groups = rows.groupBy("digest", "text").agg(stays.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     thin = materialise(groups.select("digest", "keep_id", "group_size", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")), "exact")
-    collide = thin.groupBy("digest").count().filter("count > 1")
-    if collide.isEmpty():
-        joined = rows.drop("text").join(thin, "digest")
+    collide = materialise(thin.groupBy("digest").count().filter("count > 1").select("digest"), "collide")
+    if not collide.isEmpty():
+        joined = rows.join(collide, "digest", "left_anti").drop("text").join(thin, "digest")
+        some = rows.join(collide, "digest", "left_semi")
+        sha = groups.join(collide, "digest", "left_semi").withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
+        joined = joined.unionByName(some.join(materialise(sha, "collided"), ["digest", "text"]).drop("text"))
     else:
-        sha = groups.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
-        joined = rows.join(sha, ["digest", "text"])
+        joined = rows.drop("text").join(thin, "digest")
     return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
