@@ -23,6 +23,28 @@ CONTEXT = {
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social", "security"),
 }
+#: How long the IBANs of each country of the published registry are.
+IBAN_LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST",
+    26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+_IBAN_LENGTH = {country: n for n, countries in IBAN_LENGTHS.items() for country in countries.split()}
 NEAR = 40  # code points on either side in which context words are looked for
 PROPOSED, CONFIRMED, IN_CONTEXT = 0.5, 0.3, 0.2
 KEEP_EXTRA = 0.7  # an added span needs this score: its checksum, or else its context
@@ -58,6 +80,23 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _iban_end(proposed: str) -> int:
+    """How much of a proposed IBAN is one: as many letters and digits as its country's have, if a word ends there, and
+    otherwise all of it; what follows may be a word in capitals."""
+    left = _IBAN_LENGTH.get(proposed[:2], 0)
+    for i, c in enumerate(proposed):
+        left -= c != " "
+        if left == 0:
+            return i + 1 if proposed[i + 1 : i + 2] in ("", " ") else len(proposed)
+    return len(proposed)
+
+
+def ssn_valid(ssn: str) -> bool:
+    """Whether area, group and serial number are such as are given out."""
+    area, group, serial = ssn.split("-")
+    return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Each "@" with the run of local characters before it and the domain after it; the runs of two "@" are
     apart, so long runs cost no more than their length."""
@@ -88,10 +127,12 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int, bool]]:
         if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
             yield "phone", m.start(), m.end(), False
     for m in _IBAN.finditer(text):
-        if mod97(m[0]):
-            yield "iban", m.start(), m.end(), True
+        end = _iban_end(m[0])
+        if mod97(iban := m[0][:end]):
+            yield "iban", m.start(), m.start() + end, _IBAN_LENGTH.get(iban[:2]) == len(iban.replace(" ", ""))
     for m in _SSN.finditer(text):
-        yield "ssn", m.start(), m.end(), False
+        if ssn_valid(m[0]):
+            yield "ssn", m.start(), m.end(), False
 
 
 def find_spans(text: str | None) -> list[dict]:
@@ -125,8 +166,9 @@ _ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()),
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id and ``spans``, an array of (kind, start, end, text, score).
 
-    Base kinds (email, ip, card, phone) are kept whenever they pass their check; the added kinds (iban by
-    mod-97, ssn by context) when their score reaches ``KEEP_EXTRA``. One pass over Arrow batches, no shuffle;
+    Base kinds (email, ip, card, phone) are kept whenever they pass their check; the added kinds when their score reaches
+    ``KEEP_EXTRA``: an iban passes mod-97 and has its country's length or else a context word nearby, an ssn has parts
+    that are given out and a context word. One pass over Arrow batches, no shuffle;
     patterns take time in proportion to the text. Null and empty texts have no spans; ids are passed on as
     they are, null or repeated.
     """

@@ -43,6 +43,11 @@ def test_base_spans_are_those_of_the_plain_patterns(text):
         ("pay 4111 1111 1111 1112 now", []),
         ("IBAN DE89 3704 0044 0532 0130 00.", ["iban"]),
         ("IBAN DE88 3704 0044 0532 0130 00.", []),
+        ("DE89 3704 0044 0532 0130 00 IS OURS", ["iban"]),
+        ("GB82WEST12345698765432", ["iban"]),
+        ("NO93 8601 1117 947", ["iban"]),
+        ("DE57 3704 0044 0532 0130", []),
+        ("SSN 000-12-3456, 666-12-3456, 912-12-3456, 123-00-4567 and 123-45-0000", []),
         ("my SSN is 078-05-1120", ["ssn"]),
         ("part 078-05-1120", []),
         ("call +1 (555) 555-1234", ["phone"]),
@@ -53,6 +58,14 @@ def test_validators_and_context(text, kinds):
     assert [s["kind"] for s in pii.find_spans(text)] == kinds
 
 
+def test_an_iban_ends_where_its_country_says():
+    text = "DE89 3704 0044 0532 0130 00 IS OURS"
+    assert [s["text"] for s in pii.find_spans(text)] == [text[:27]]
+    check = 98 - int("370400440532013" + "131400") % 97
+    short = f"DE{check:02} 3704 0044 0532 013"
+    assert pii.mod97(short) and not pii.find_spans(short) and pii.find_spans("IBAN " + short)
+
+
 def test_long_runs_take_linear_time():
     for text in ("a" * 200_000 + "@", "1" * 200_000, "1." * 100_000, "+1" + "-" * 200_000, "a@" * 100_000):
         pii.find_spans(text)
