@@ -174,19 +174,18 @@ def match_all(postings: DataFrame, wanted: DataFrame) -> DataFrame:
 def cover_density(positions: list[int], lexemes: list[str]) -> float:
     """Rank of one text: each shortest interval with all lexemes adds the weight over 1 plus the words in it that
     match nothing; the next one starts behind its first word."""
-    wanted = set(lexemes)
     score, first = 0.0, 0
-    while True:
-        seen: set[str] = set()
-        end = next((i for i in range(first, len(lexemes)) if seen.add(lexemes[i]) or len(seen) == len(wanted)), None)
-        if end is None or not wanted:
-            return score
-        seen.clear()
-        start = next(i for i in range(end, -1, -1) if seen.add(lexemes[i]) or len(seen) == len(wanted))
+    wanted = len(set(lexemes))
+    last: dict[str, int] = {}  # where each lexeme was met last; one pass, however many matches there are
+    for end, lexeme in enumerate(lexemes):
+        last[lexeme] = end
+        if len(last) < wanted or (start := min(last.values())) < first:
+            continue
         matched = end - start
         noise = positions[end] - positions[start] - matched
         score += UNLABELLED / (1 + (noise if noise >= 0 else matched // 2))
         first = start + 1
+    return score
 
 
 def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
