@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from plotmark.llm import ann, bpe, exact_dedup, html_text, language_id, licenses, line_dedup, ngram_join, packing, pii
+from plotmark.llm import ann, bpe, exact_dedup, html_text, language_id, licenses, line_dedup, ngram_join, packing, pii, window_packing
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_html_text": html_text.op8_html_text,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_pii": pii.op10_pii,
+        "op11_window_packing": window_packing.op11_window_packing,
         "pipeline": corpus_pipeline.run,
     }
 
