@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from plotmark.llm import ann, bpe, exact_dedup, html_text, language_id, licenses, line_dedup, ngram_join, packing, pii, window_packing
+from plotmark.llm import ann, bpe, exact_dedup, html_text, language_id, licenses, line_dedup, merkle, ngram_join, packing, pii, window_packing
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_pii": pii.op10_pii,
         "op11_window_packing": window_packing.op11_window_packing,
+        "op12_merkle_manifest": merkle.op12_merkle_manifest,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_licenses": licenses.OP2_SQL,
         "op4_line_dedup": line_dedup.OP4_SQL,
         "op9_exact_dedup": exact_dedup.OP9_SQL,
+        "op12_merkle_manifest": merkle.OP12_SQL,
     }
