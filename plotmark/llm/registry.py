@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from plotmark.llm import ann, bpe, exact_dedup, html_text, language_id, licenses, line_dedup, merkle, ngram_join, packing, pii, window_packing
+from plotmark.llm import ann, bpe, exact_dedup, html_text, language_id, licenses, line_dedup, merkle, ngram_join, packing, pii, whitening, window_packing
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op10_pii": pii.op10_pii,
         "op11_window_packing": window_packing.op11_window_packing,
         "op12_merkle_manifest": merkle.op12_merkle_manifest,
+        "op13_whitening": whitening.op13_whitening,
         "pipeline": corpus_pipeline.run,
     }
 
