@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import reduce
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plotmark.operators.blocks import PART, SLICE, nearest_in_blocks
 from plotmark.operators.lexical import match_all, query_lexemes, rank_matches
 
 DEFAULT_K, MAX_K, RRF_K, DEPTH = 8, 100, 60, 4
-QUERY_BYTES = 32_000_000  # of query vectors that are sent to every task at once
-TABLES, BITS, RECALL, SAMPLE = 4, 6, 0.95, 64  # of hashing; the recall that a sample of queries must reach
 
 
 def live_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -35,108 +28,23 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(norm == 0, F.lit(float("nan"))).otherwise(1 - _dot(a, b) / F.when(norm != 0, norm))
 
 
-def vector_topk(queries: DataFrame, embeddings: DataFrame, depth: int = DEPTH, query_bytes: int = QUERY_BYTES) -> DataFrame:
+def vector_topk(queries: DataFrame, embeddings: DataFrame, depth: int = DEPTH, per_slice: int = SLICE, per_part: int = PART) -> DataFrame:
     """(query_id, chunk_id, distance, vector_rank): for each of ``queries`` (query_id, address_id, k, vector) the
     ``depth`` times k nearest embeddings of its address. Distances are rounded to 9 places; ties go to the smaller
     chunk_id; null vectors, and those of another length than the query's, take no part.
 
-    Queries are sent to every task in slices of about ``query_bytes``, however many there are; a task multiplies them with
-    its embeddings and keeps the best of each. The embeddings themselves are neither broadcast nor shuffled."""
-    return _best_of(queries, _near(queries, embeddings, depth, query_bytes), depth)
+    Queries and embeddings of an address meet in blocks, see ``nearest_in_blocks``: neither side goes through the driver or is
+    broadcast, and the vectors are read once, however many queries there are."""
+    return best_of(nearest_in_blocks(queries, embeddings, ["address_id"], depth, per_slice, per_part), depth)
 
 
-def _best_of(queries: DataFrame, near: DataFrame, depth: int) -> DataFrame:
+def best_of(near: DataFrame, depth: int) -> DataFrame:
+    """The ranking of each query, from the best of each block."""
     order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     ranked = near.withColumn("vector_rank", F.row_number().over(order)).filter(F.col("vector_rank") <= depth * MAX_K)
     return ranked.filter(F.col("vector_rank") <= F.col("k") * depth).select("query_id", "chunk_id", "distance", "vector_rank")
 
 
-@dataclass
-class Hyperplanes:
-    """Buckets by the signs of random directions, ``BITS`` in each of ``TABLES`` tables. A query visits its ``probes``
-    likeliest buckets of each: those that differ in the directions it is nearest to."""
-
-    probes: int
-    seed: int = 7
-
-    def projected(self, x: np.ndarray) -> np.ndarray:
-        """Rows, tables, bits."""
-        directions = np.random.default_rng(self.seed).normal(size=(x.shape[1], TABLES * BITS))
-        return (x @ directions).reshape(len(x), TABLES, BITS)
-
-    def buckets(self, x: np.ndarray) -> np.ndarray:
-        return (self.projected(x) > 0) @ (1 << np.arange(BITS))
-
-    def order(self, x: np.ndarray) -> np.ndarray:
-        """All buckets of each table in the order of visits: rows, tables, 2 ** BITS."""
-        p = self.projected(x)
-        flips = (np.arange(1 << BITS)[:, None] >> np.arange(BITS)) & 1
-        cost = (p**2) @ flips.T
-        own = (p > 0) @ (1 << np.arange(BITS))
-        return np.arange(1 << BITS)[np.argsort(cost, axis=2, kind="stable")] ^ own[:, :, None]
-
-
-def _near(queries: DataFrame, embeddings: DataFrame, depth: int, query_bytes: int, hashed: Hyperplanes | None = None) -> DataFrame:
-    """(query_id, chunk_id, k, distance): the best of each query and Arrow batch, of the buckets it visits if ``hashed``."""
-    asked = queries.select("query_id", "address_id", "k", "vector").filter(F.col("vector").isNotNull())
-    size = asked.agg(F.sum(F.size("vector") * 8 + 64).alias("bytes")).first()["bytes"] or 0
-    slices = max(1, -(-size // max(query_bytes, 1)))
-    found = [_near_slice(asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i), embeddings, depth, hashed) for i in range(slices)]
-    return reduce(DataFrame.union, found)
-
-
-def _near_slice(queries: DataFrame, embeddings: DataFrame, depth: int, hashed: Hyperplanes | None) -> DataFrame:
-    by_address: dict[str, list] = {}
-    for r in queries.collect():
-        by_address.setdefault(r["address_id"], []).append((r["query_id"], r["k"], np.array(r["vector"], dtype=np.float64)))
-    sent = queries.sparkSession.sparkContext.broadcast(by_address)
-
-    def nearest(ids: np.ndarray, x: np.ndarray, asked: list) -> Iterator[tuple]:
-        norms = np.sqrt((x * x).sum(axis=1))
-        if hashed:
-            buckets = hashed.buckets(x)
-            sorted_by = np.argsort(buckets, axis=0, kind="stable")
-            starts = [np.searchsorted(buckets[sorted_by[:, t], t], np.arange((1 << BITS) + 1)) for t in range(TABLES)]
-            orders = hashed.order(np.stack([v for *_, v in asked]))[:, :, : hashed.probes]
-        for i, (query_id, k, v) in enumerate(asked):
-            some = np.arange(len(ids))
-            if hashed:
-                some = np.unique(np.concatenate([sorted_by[starts[t][b] : starts[t][b + 1], t] for t in range(TABLES) for b in orders[i, t]]))
-            if not len(some):
-                continue
-            norm = norms[some] * np.sqrt((v * v).sum())
-            with np.errstate(divide="ignore", invalid="ignore"):
-                distance = np.round(np.where(norm > 0, 1 - (x[some] @ v) / norm, np.nan), 9) + 0.0  # no negative zero
-            n = min(k * depth, len(some))
-            bound = np.partition(distance, n - 1)[n - 1]  # NaN sorts last
-            best = np.flatnonzero((distance <= bound) | np.isnan(bound))
-            best = best[np.lexsort((ids[some[best]].astype(str), distance[best]))][:n]
-            yield from ((query_id, ids[some[j]], k, distance[j]) for j in best)
-
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = sent.value
-        for b in batches:
-            addresses = b.column(1).dictionary_encode()
-            names, of = addresses.dictionary.to_pylist(), addresses.indices.to_numpy(zero_copy_only=False)
-            lengths = b.column(2).value_lengths().to_numpy()
-            out: list[tuple] = []
-            for place, name in enumerate(names):
-                own: dict[int, list] = {}
-                for q in asked.get(name, ()):
-                    own.setdefault(len(q[2]), []).append(q)
-                for length, some in own.items():
-                    rows = b.take(pa.array(np.flatnonzero((of == place) & (lengths == length))))
-                    if rows.num_rows:
-                        x = rows.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, length)
-                        out += nearest(np.array(rows.column(0).to_pylist(), dtype=object), x, some)
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t, from_pandas=False) for c, t in zip(columns, kinds, strict=True)], ["query_id", "chunk_id", "k", "distance"])
-
-    rows = embeddings.filter(F.col("embedding").isNotNull()).select("chunk_id", "address_id", "embedding")
-    return rows.mapInArrow(rank, "query_id string, chunk_id string, k int, distance double")
-
-
 def text_topk(queries: DataFrame, postings: DataFrame, config: str = "english", depth: int = DEPTH) -> DataFrame:
     """(query_id, chunk_id, text_rank, rank): for each query the ``depth`` times k best matches of all its lexemes in its
     address. Ties go to the smaller chunk_id."""
@@ -230,24 +138,6 @@ def query_job(queries: DataFrame, chunks: DataFrame, documents: DataFrame, embed
     return results, query_log(valid, results, examined, model_id, created_at), rejected
 
 
-def hyperplane_topk(queries: DataFrame, embeddings: DataFrame, depth: int = DEPTH, recall: float = RECALL, sample: int = SAMPLE, query_bytes: int = QUERY_BYTES) -> DataFrame:
-    """As ``vector_topk``, but a query is compared only with embeddings of its address that share one of the buckets that
-    it visits in some table. It visits as many as ``sample`` queries (by the hash of their ids) need to find a share of
-    ``recall`` of their true neighbours; where no fewer do, all, which is exact. Distances are computed exactly, once for
-    each pair. ``recall_of`` measures the result."""
-    drawn = queries.filter(F.col("vector").isNotNull()).orderBy(F.xxhash64("query_id"), "query_id").limit(sample)
-    true = vector_topk(drawn, embeddings, depth).select("query_id", "chunk_id").join(embeddings.select("chunk_id", "embedding"), "chunk_id")
-    pairs = true.join(drawn.select("query_id", "vector"), "query_id").select("vector", "embedding").collect()
-    probes = 1
-    pairs = [r for r in pairs if len(r["vector"]) == len(pairs[0]["vector"])]
-    if pairs:
-        q, e = (np.array([r[c] for r in pairs], dtype=np.float64) for c in ("vector", "embedding"))
-        planes = Hyperplanes(1 << BITS)
-        place = (planes.order(q) == planes.buckets(e)[:, :, None]).argmax(axis=2).min(axis=1)
-        probes = int(np.sort(place)[min(len(place) - 1, int(np.ceil(recall * len(place))))]) + 1
-    return _best_of(queries, _near(queries, embeddings, depth, query_bytes, Hyperplanes(probes)), depth)
-
-
 def recall_of(found: DataFrame, exact: DataFrame) -> DataFrame:
     """One row, ``recall``: the share of the exact (query_id, chunk_id) that are found."""
     hit = exact.select("query_id", "chunk_id").join(found.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotmark.functions.text import key_id
-from plotmark.operators import audit, chunking, embedding, gate, lexical, lifecycle, search, segments, status
+from plotmark.operators import audit, buckets, chunking, embedding, gate, lexical, lifecycle, search, segments, status
 from plotmark.plans import fixtures as fx
 from plotmark.sources.storage import dataset_name, shared_dir, storage_ref, stored
 from plotmark.streaming import jobs as streaming
@@ -174,7 +174,9 @@ def vector_topk(s: SparkSession, d: str) -> DataFrame:
 
 
 def lsh_topk(s: SparkSession, d: str) -> DataFrame:
-    return search.hyperplane_topk(fx.vector_queries(s, d), fx.vectors(s, d))
+    path = f"{shared_dir(s)}/buckets-{uuid.uuid4().hex}"
+    buckets.write_bucket_index(fx.vectors(s, d), path, fx.MODEL)
+    return buckets.hyperplane_topk(fx.vector_queries(s, d), buckets.read_bucket_index(s, path, fx.MODEL))
 
 
 def live_chunks(s: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plotmark.operators import search
+from plotmark.operators import buckets, search
 from plotmark.plans import fixtures
 
 
@@ -20,11 +20,11 @@ def test_vector_topk_ranks_within_the_address(spark):
     got = search.vector_topk(q, e).orderBy("vector_rank").collect()
     assert [r.chunk_id for r in got] == ["c0", "c1", "c2", "c3"] and math.isnan(got[-1].distance)
     assert search.vector_topk(q, e, depth=2).count() == 2
-    joined = search.vector_topk(q, e, query_bytes=60).orderBy("vector_rank").collect()
+    joined = search.vector_topk(q, e, per_slice=1, per_part=2).orderBy("vector_rank").collect()
     assert [r.chunk_id for r in joined] == [r.chunk_id for r in got] and joined[:3] == got[:3]
     more = q.union(spark.createDataFrame([(f"q{i}", "b", 1, [0.5, float(i)]) for i in range(5)] + [("long", "a", 1, [1.0, 2.0, 3.0])], q.schema))
     rows = e.union(spark.createDataFrame([("c9", "b", None), ("c8", "b", [1.0])], e.schema))
-    at_once, sliced = (sorted(map(str, search.vector_topk(more, rows, query_bytes=n).collect())) for n in (10_000, 100))
+    at_once, sliced = (sorted(map(str, search.vector_topk(more, rows, per_slice=n, per_part=n).collect())) for n in (10_000, 2))
     assert at_once == sliced and len(sliced) == 9
 
 
@@ -34,23 +34,60 @@ def test_fusion_sums_reciprocal_ranks(spark):
     assert {r.chunk_id: r.score for r in search.fuse(v, t).collect()} == {"a": 1 / 61, "b": 1 / 62 + 1 / 61, "c": 1 / 62}
 
 
-def test_hyperplanes_find_most_of_the_true_neighbours(spark):
+def bucket_index(spark, e, tmp_path, **kinds):
+    buckets.write_bucket_index(e, f"file://{tmp_path}/index", "hash:feature-64", **kinds)
+    return buckets.read_bucket_index(spark, f"file://{tmp_path}/index", "hash:feature-64")
+
+
+def test_buckets_of_clustered_vectors_spare_most_comparisons(spark, tmp_path):
     draw = np.random.default_rng(2)
     centres = draw.normal(size=(20, 32)) * 3
     x = centres[np.arange(600) % 20] + draw.normal(size=(600, 32)) * 0.5
     e = spark.createDataFrame([(f"c{i}", "a", v.tolist()) for i, v in enumerate(x)], "chunk_id string, address_id string, embedding array<float>")
-    q = spark.createDataFrame([(f"q{i}", "a", 2, x[i].tolist()) for i in range(20)], "query_id string, address_id string, k int, vector array<float>")
+    q = spark.createDataFrame([(f"q{i}", "a", 2, x[i].tolist()) for i in range(20)] + [("none", "a", 2, None), ("other", "b", 2, x[0].tolist())], "query_id string, address_id string, k int, vector array<float>")
     exact = {(r.query_id, r.chunk_id) for r in search.vector_topk(q, e).collect()}
-    near = {(r.query_id, r.chunk_id) for r in search.hyperplane_topk(q, e).collect()}
-    assert len(exact & near) >= 0.9 * len(exact)
+    index = bucket_index(spark, e, tmp_path)
+    found = buckets.hyperplane_topk(q, index, per_slice=4, per_part=50)
+    near = {(r.query_id, r.chunk_id) for r in found.collect()}
+    assert len(exact & near) >= 0.9 * len(exact) and index.tables == buckets.TABLES
+    assert 0 < buckets.compared_share(q, index).first().share < 0.7
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "buckets" in plan and any("Join" in line and "bucket#" in line and "table_no#" in line for line in plan.splitlines())
+    with pytest.raises(ValueError):
+        buckets.read_bucket_index(spark, f"file://{tmp_path}/index", "another")
 
 
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
-def test_hyperplanes_find_most_neighbours_on_the_given_vectors(spark, sf):
-    """Of all queries, of which a quarter set the number of probes; and as many rows as exact search gives."""
+def test_buckets_find_most_neighbours_on_the_given_vectors(spark, sf, tmp_path):
+    """These are nearly uniform, so the index may fall back on all buckets of one table; and as many rows as exact search gives."""
     q, e = fixtures.vector_queries(spark, f"/root/testdata/{sf}"), fixtures.vectors(spark, f"/root/testdata/{sf}")
-    exact, near = search.vector_topk(q, e).collect(), search.hyperplane_topk(q, e, sample=q.count() // 4 or 1)
+    index = bucket_index(spark, e, tmp_path)
+    exact, near = search.vector_topk(q, e).collect(), buckets.hyperplane_topk(q, index)
     assert near.count() == len(exact) and search.recall_of(near, spark.createDataFrame(exact)).first().recall >= 0.9
+    assert buckets.compared_share(q, index).first().share <= 1
+
+
+def test_another_model_and_a_second_write_leave_the_index_whole(spark, tmp_path):
+    e = spark.createDataFrame([("c1", "a", [1.0, 0.0]), ("c2", "a", [0.0, 1.0])], "chunk_id string, address_id string, embedding array<float>")
+    path = f"file://{tmp_path}/index"
+    for model, rows in (("m:1", e), ("m:2", e.filter("chunk_id = 'c1'")), ("m:1", e)):
+        buckets.write_bucket_index(rows, path, model)
+    for model, n in (("m:1", 2), ("m:2", 1)):
+        assert buckets.read_bucket_index(spark, path, model).table.select("chunk_id").distinct().count() == n
+
+
+def test_no_vector_goes_through_the_driver(spark):
+    """Thousands of queries of one address against as many vectors are one scan and one plan."""
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("chunk_id"), F.lit("a").alias("address_id"), F.array(F.sin("id"), F.cos(F.col("id") * 3), F.sin(F.col("id") * 7)).cast("array<float>").alias("embedding"))
+    q = rows.select(F.col("chunk_id").alias("query_id"), "address_id", F.lit(1).alias("k"), F.col("embedding").alias("vector"))
+    got = search.vector_topk(q, rows, depth=2, per_slice=300, per_part=1000)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 2
+    x = np.array([r.embedding for r in rows.orderBy(F.col("chunk_id").cast("int")).collect()], dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    names, distance = np.arange(3000).astype(str), np.round(1 - x @ x.T, 9) + 0.0
+    near = np.stack([np.lexsort((names, d))[:2] for d in distance])
+    found = {(int(r.query_id), r.vector_rank): int(r.chunk_id) for r in got.collect()}
+    assert len(found) == 6000 and np.mean([found[i, j + 1] == near[i, j] for i in range(3000) for j in range(2)]) > 0.99
 
 
 def test_only_live_versions(spark):
