@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from plotmark.functions.text import key_id, let, prefix_sums
+from plotmark.functions.text import at_or_before, key_id, let, prefix_sums
 
 CHUNK_TOKENS, OVERLAP = 600, 100
 SEPARATOR = "\n\n"
@@ -42,10 +43,9 @@ def chunk_documents(documents: DataFrame, chunk_tokens: int = CHUNK_TOKENS, over
         raise ValueError("overlap must be less than chunk_tokens, and neither negative")
     step = chunk_tokens - overlap
 
-    def window(begin: Column, i: Column, words: Column, parts: Column) -> Column:
+    def window(begin: Column, i: Column, words: Column, part: Column) -> Column:
         def chunk(own: Column) -> Column:
             text = F.array_join(own, "")
-            part = F.element_at(F.filter(parts, lambda p: p["start"] <= begin), -1)["segment"]
             return F.struct(
                 i.alias("ordinal"),
                 part["page_number"].alias("page_number"),
@@ -60,14 +60,39 @@ def chunk_documents(documents: DataFrame, chunk_tokens: int = CHUNK_TOKENS, over
 
     def windows(words: Column) -> Column:
         steps = F.transform(F.sequence(F.lit(0), window_count(F.size(words), chunk_tokens, overlap) - 1), lambda i: F.char_length(F.array_join(F.slice(words, i * step + 1, F.lit(step)), "")))
-        parts = F.arrays_zip(F.col("segments").alias("segment"), segment_starts(F.col("segments")).alias("start"))
-        return let(parts, lambda p: F.transform(prefix_sums(steps), lambda begin, i: window(begin, i, words, p)))
+        parts = F.col("segments")
+
+        def located(begins: Column) -> Column:
+            of = at_or_before(begins, segment_starts(parts))
+            return let(of, lambda n: F.transform(begins, lambda begin, i: window(begin, i, words, F.get(parts, F.get(n, i) - 1))))
+
+        return let(prefix_sums(steps), located)
 
     some = documents.filter(F.exists("segments", lambda s: s["text"] != ""))
     rows = some.select("document_id", "address_id", "doc_version", F.inline(let(tokens(document_text(F.col("segments"))), windows)))
     return rows.select(key_id(F.col("document_id"), F.col("doc_version"), F.col("ordinal")).alias("chunk_id"), "document_id", "address_id", "doc_version", "ordinal", "page_number", "paragraph_index", "char_start", "char_end", "text", "token_count")
 
 
+def segment_rows(documents: DataFrame) -> DataFrame:
+    """(document_id, start, page_number, paragraph_index): the segments of (document_id, segments) as rows, and where each begins."""
+    parts = F.arrays_zip(segment_starts(F.col("segments")).alias("start"), F.col("segments").alias("segment"))
+    return documents.select("document_id", F.inline(parts)).select("document_id", "start", "segment.page_number", "segment.paragraph_index")
+
+
+def locate(positions: DataFrame, segments: DataFrame, position: str = "position") -> DataFrame:
+    """``positions`` (document_id, ``position``, and others) with page_number and paragraph_index of the last of ``segments``
+    (document_id, start, page_number, paragraph_index) that starts at or before it; null where none does.
+
+    Both are sorted together by document once, so the work is linear in their rows and nothing is compared pairwise. Of segments that
+    start at one place the later one counts."""
+    segment = F.struct("page_number", "paragraph_index")
+    asked = positions.select("document_id", F.col(position).cast("long").alias("at"), F.lit(1).alias("asks"), F.lit(None).cast(segments.select(segment.alias("s")).schema["s"].dataType).alias("segment"), F.struct(*positions.columns).alias("row"))
+    given = segments.select("document_id", F.col("start").cast("long").alias("at"), F.lit(0).alias("asks"), segment.alias("segment"), F.lit(None).cast(asked.schema["row"].dataType).alias("row"))
+    so_far = Window.partitionBy("document_id").orderBy("at", "asks", "segment").rowsBetween(Window.unboundedPreceding, 0)
+    found = asked.unionByName(given).withColumn("found", F.last("segment", ignorenulls=True).over(so_far)).filter("asks = 1")
+    return found.select("row.*", "found.page_number", "found.paragraph_index")
+
+
 def replace_version_chunks(stored: DataFrame, new: DataFrame) -> DataFrame:
     """``stored`` with the chunks of every (document, version) in ``new`` replaced; doing it again changes nothing."""
     versions = new.select("document_id", "doc_version").distinct()

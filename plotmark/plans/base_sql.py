@@ -2,10 +2,17 @@
 
 SPACES = "' ' || chr(10) || chr(13) || chr(9)"
 
+
+
+def key_sql(*parts: str) -> str:
+    """The id of parts, as ``functions.text.key_id`` makes it."""
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({p} AS VARCHAR)) || ':' || CAST({p} AS VARCHAR), '-')" for p in parts) + ")"
+
+
 UPLOADS = """u AS (SELECT source AS address_id, CAST(doc_id AS VARCHAR) AS upload_id, 'doc-' || doc_id || '.txt' AS filename, doc_id,
   replace(text, chr(10), chr(10) || chr(10)) AS body, TIMESTAMP '2024-01-01' + to_seconds(doc_id) AS upload_ts FROM documents)"""
 DOCS = f"""{UPLOADS},
-d AS (SELECT sha256(address_id || chr(31) || upload_id) AS document_id, *, sha256(body) AS content_hash FROM u)"""
+d AS (SELECT {key_sql('address_id', 'upload_id')} AS document_id, *, sha256(body) AS content_hash FROM u)"""
 LATER = f"""{DOCS},
 r AS (SELECT address_id, CASE WHEN doc_id % 10 = 2 THEN filename ELSE upload_id END AS upload_id, filename, doc_id, upload_ts,
     body || CASE WHEN doc_id % 10 = 0 THEN ' revised' ELSE '' END AS body FROM u
@@ -14,7 +21,7 @@ r AS (SELECT address_id, CASE WHEN doc_id % 10 = 2 THEN filename ELSE upload_id
 h AS (SELECT r.*, sha256(r.body) AS content_hash, d.content_hash AS stored, CASE WHEN d.document_id IS NULL THEN 0 ELSE 1 END AS live
   FROM r LEFT JOIN d ON d.address_id = r.address_id AND d.upload_id = r.upload_id),
 c AS (SELECT *, content_hash IS DISTINCT FROM coalesce(lag(content_hash) OVER w, stored) AS changed FROM h WINDOW w AS (PARTITION BY address_id, upload_id ORDER BY upload_ts)),
-g AS (SELECT sha256(address_id || chr(31) || upload_id) AS document_id, address_id, upload_id, filename, content_hash, upload_ts,
+g AS (SELECT {key_sql('address_id', 'upload_id')} AS document_id, address_id, upload_id, filename, content_hash, upload_ts,
   CAST(live + sum(CAST(changed AS INT)) OVER (PARTITION BY address_id, upload_id ORDER BY upload_ts) AS INT) AS doc_version,
   CASE WHEN changed THEN 'pending' ELSE 'skipped' END AS state FROM c)"""
 
@@ -40,7 +47,7 @@ tok AS (SELECT document_id, address_id, full_text, regexp_extract_all(full_text,
 num AS (SELECT *, CASE WHEN len(tokens) = 0 THEN 0 WHEN len(tokens) <= {size} THEN 1 ELSE 1 + CAST(ceil((len(tokens) - {size}) / {step}.0) AS INT) END AS windows FROM tok),
 win AS (SELECT document_id, address_id, ordinal, tokens[ordinal * {step} + 1 : ordinal * {step} + {size}] AS own, length(array_to_string(tokens[1 : ordinal * {step}], '')) AS char_start
   FROM (SELECT *, unnest(range(0, windows)) AS ordinal FROM num)),
-k0 AS (SELECT sha256(document_id || chr(31) || '1' || chr(31) || ordinal) AS chunk_id, document_id, address_id, CAST(ordinal AS INT) AS ordinal, CAST(char_start AS INT) AS char_start,
+k0 AS (SELECT {key_sql('document_id', '1', 'ordinal')} AS chunk_id, document_id, address_id, CAST(ordinal AS INT) AS ordinal, CAST(char_start AS INT) AS char_start,
   CAST(char_start + length(array_to_string(own, '')) AS INT) AS char_end, array_to_string(own, '') AS text, CAST(len(own) AS INT) AS token_count FROM win),
 k AS (SELECT k0.*, o.page_number, CAST(o.paragraph_index AS INT) AS paragraph_index FROM k0 ASOF JOIN ord o ON k0.document_id = o.document_id AND k0.char_start >= o.seg_start)"""
 

@@ -79,6 +79,8 @@ m AS (SELECT *, CASE WHEN NOT pdf OR (np > 0 AND first_chars / (pages + 0.0) >=
 SELECT document_id, method, CAST(CASE method WHEN 'primary' THEN np WHEN 'ocr' THEN no ELSE nl END AS INT) AS n FROM m""",
     "chunk_windows": f"WITH {CHUNKS} SELECT chunk_id, document_id, address_id, ordinal, page_number, paragraph_index, char_start, char_end, text, token_count FROM k",
     "chunk_provenance": f"WITH {CONVERSATIONS}, {chunk_sql('cv', 50, 10)} SELECT document_id, ordinal, char_start, char_end, page_number, paragraph_index, token_count FROM k",
+    "provenance_rows": f"""WITH {CONVERSATIONS}, {chunk_sql('cv', 50, 10)} SELECT c.document_id, c.ordinal, c.char_end - 1 AS position, o.page_number, CAST(o.paragraph_index AS INT) AS paragraph_index
+  FROM k0 c ASOF JOIN ord o ON c.document_id = o.document_id AND c.char_end - 1 >= o.seg_start""",
     "version_chunks": f"WITH {CHUNKS} SELECT document_id, ordinal, 'new ' || text AS text FROM k WHERE document_id < '4' AND ordinal < 2",
     "hash_embedding_md5": f"WITH {CHUNKS}, {EMBEDDED} SELECT chunk_id, idx, round(value, 6) AS value FROM emb",
     "model_parse": f"WITH {_PARSED} SELECT * FROM pd",

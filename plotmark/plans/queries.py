@@ -112,6 +112,11 @@ def chunk_provenance(s: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_documents(fx.conversations(s, d), fx.SIZE, fx.OVERLAP).select("document_id", "ordinal", "char_start", "char_end", "page_number", "paragraph_index", "token_count")
 
 
+def provenance_rows(s: SparkSession, d: str) -> DataFrame:
+    c = chunking.chunk_documents(fx.conversations(s, d), fx.SIZE, fx.OVERLAP).select("document_id", "ordinal", (F.col("char_end") - 1).alias("position"))
+    return chunking.locate(c, chunking.segment_rows(fx.conversations(s, d)))
+
+
 def version_chunks(s: SparkSession, d: str) -> DataFrame:
     old = fx.chunks(s, d)
     new = old.filter(F.substring("document_id", 1, 1) < "4").filter("ordinal < 2").withColumn("text", F.concat(F.lit("new "), "text"))
@@ -416,7 +421,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         content_hash, address_upsert, upload_gate, document_versions, accepted_uploads, paragraphs, page_markers, table_text, layout_exclude,
-        page_assembly, coverage, choose_extraction, chunk_windows, chunk_provenance, version_chunks, hash_embedding_md5, hash_embedding_blake2b,
+        page_assembly, coverage, choose_extraction, chunk_windows, chunk_provenance, provenance_rows, version_chunks, hash_embedding_md5, hash_embedding_blake2b,
         model_parse, embedding_cost, embedding_upsert, model_registry, dataset_names, storage_refs, vector_topk, lsh_topk, live_chunks,
         vector_search, lexemes, lexemes_english, text_match, text_topk, text_topk_covers, rrf, hybrid_search, examined, query_job, publish,
         remove_cascade, missing_embeddings, rebuild, config_upsert, rebuild_active, ingest_job, job_status, failure_outcome, missing_by_address,

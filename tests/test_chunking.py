@@ -3,7 +3,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from plotmark.functions.text import prefix_sums
+from plotmark.functions.text import key_id, prefix_sums
 from plotmark.operators import chunking
 
 SCHEMA = "document_id string, address_id string, doc_version int, segments array<struct<page_number:int,paragraph_index:int,text:string>>"
@@ -58,3 +58,36 @@ def test_versions_are_replaced(spark):
     assert sorted(r.text for r in once.collect()) == ["four", "x"]
     assert sorted(once.collect()) == sorted(chunking.replace_version_chunks(once, new).collect())
     assert [r.text for r in chunking.version_chunks(old, new).collect()] == ["one two", " three"]
+
+
+def test_many_segments_take_time_in_proportion(spark):
+    """A hundred thousand segments of one document, in the row and as rows; both find the same owners."""
+    import time
+    from bisect import bisect_right
+
+    texts = [f"word{i} of some {i}" for i in range(100_000)]
+    starts = [0]
+    for t in texts:
+        starts.append(starts[-1] + len(t) + 2)
+    df = spark.createDataFrame([("d", "a", 1, [(1 + i // 10, i % 10, t) for i, t in enumerate(texts)])], SCHEMA)
+    chunking.chunk_documents(df.select("document_id", "address_id", "doc_version", F.slice("segments", 1, 100).alias("segments")), 50, 10).count()
+    began = time.time()
+    got = chunking.chunk_documents(df, 50, 10).select("document_id", "ordinal", "char_start", "page_number", "paragraph_index").collect()
+    assert time.time() - began < 60
+    own = [bisect_right(starts, c.char_start) - 1 for c in got]
+    assert [(c.page_number, c.paragraph_index) for c in got] == [(1 + i // 10, i % 10) for i in own] and len(got) > 9_000
+    again = chunking.locate(spark.createDataFrame(got).select("document_id", "ordinal", "char_start"), chunking.segment_rows(df), "char_start")
+    assert sorted((c.ordinal, c.page_number, c.paragraph_index) for c in again.collect()) == [(c.ordinal, c.page_number, c.paragraph_index) for c in got]
+
+
+def test_positions_before_all_segments_and_of_unknown_documents_have_none(spark):
+    segments = spark.createDataFrame([("d", 5, 1, 0), ("d", 9, 1, 1), ("d", 9, 2, 0)], "document_id string, start long, page_number int, paragraph_index int")
+    asked = spark.createDataFrame([("d", 4, "x"), ("d", 5, "y"), ("d", 8, "y"), ("d", 9, "z"), ("e", 9, "z")], "document_id string, position long, note string")
+    got = [(r.document_id, r.position, r.note, r.page_number, r.paragraph_index) for r in chunking.locate(asked, segments).collect()]
+    assert sorted(got, key=str) == [("d", 4, "x", None, None), ("d", 5, "y", 1, 0), ("d", 8, "y", 1, 0), ("d", 9, "z", 2, 0), ("e", 9, "z", None, None)]
+
+
+def test_ids_tell_nulls_and_separators_apart(spark):
+    rows = [("a", None, "b"), ("a", "b", None), (None, "a", "b"), ("a", "b", ""), ("a\x1fb", "", ""), ("a", "1:b", ""), ("1:a", "b", ""), ("-", None, None), (None, None, "-")]
+    got = [r[0] for r in spark.createDataFrame(rows, "a string, b string, c string").select(key_id(F.col("a"), F.col("b"), F.col("c"))).collect()]
+    assert len(set(got)) == len(rows)
