@@ -137,6 +137,10 @@ UNION ALL SELECT 'embedding', chunk_id FROM k WHERE ordinal = 1 AND (address_id
 UNION ALL SELECT 'missing value', chunk_id FROM k WHERE ordinal = 4 UNION ALL SELECT 'gap in ordinals', document_id FROM k WHERE document_id < '8' GROUP BY document_id HAVING count(*) > 2""",
     "stream_gate": f"WITH {LATER} SELECT address_id, upload_id, content_hash, doc_version, state FROM g",
     "stream_status": f"WITH {JOBS} {_STATUS}",
+    "stream_ingest": f"WITH {CHUNKS} SELECT chunk_id, document_id, address_id, ordinal, text, 1 AS live_version, 1 AS jobs FROM k",
+    "publish_snapshot": f"""WITH {CHUNKS} SELECT seen, CASE seen WHEN 'after' THEN 2 ELSE 1 END AS version, CASE WHEN seen = 'after' AND document_id < '8' THEN chunk_id || '-2' ELSE chunk_id END AS chunk_id,
+  CASE WHEN seen = 'after' AND document_id < '8' THEN 2 ELSE 1 END AS doc_version, CASE WHEN seen = 'after' AND document_id < '8' THEN 2 ELSE 1 END AS live_version FROM k, (VALUES ('before'), ('failed'), ('after')) t(seen)""",
+    "table_roundtrip": "SELECT CAST(vec_id AS VARCHAR) AS chunk_id, 'addr-' || label AS address_id, 'hash:feature-64' AS model_id, CAST(len(embedding) AS INT) AS dim, round(CAST(CASE WHEN label = 3 THEN -embedding[1] ELSE embedding[1] END AS DOUBLE), 6) AS first FROM embeddings",
     "stream_lease": _LEASES,
     "lease_timeout": _LEASES,
 }

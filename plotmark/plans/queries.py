@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotmark.functions.text import key_id
 from plotmark.operators import audit, buckets, chunking, embedding, gate, lexical, lifecycle, search, segments, status
 from plotmark.plans import fixtures as fx
+from plotmark.sources import snapshots, storage
 from plotmark.sources.storage import dataset_name, shared_dir, storage_ref, stored
 from plotmark.streaming import jobs as streaming
 
@@ -413,6 +416,56 @@ def stream_lease(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{base}/out")
 
 
+def stream_ingest(s: SparkSession, d: str) -> DataFrame:
+    """All documents as raw files, ingested in several batches of which each comes twice."""
+    base = f"{shared_dir(s)}/ingest-{uuid.uuid4().hex}"
+    files = fx.table(s, d, "documents").select(F.col("source").alias("address"), F.col("doc_id").alias("doc"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("value"))
+    files.repartition("address").write.partitionBy("address", "doc").text(f"{base}/raw")
+    arriving = storage.stream_uploads(s, f"{base}/raw", "part-*", files=600)
+    arriving = arriving.withColumns({"content_type": F.lit("text/plain"), "filename": F.concat(F.lit("doc-"), "upload_id", F.lit(".txt")), "display_name": F.lit(None).cast("string")})
+    ingest = streaming.snapshot_ingest(s, f"{base}/index", "uploads", fx.MODEL, fx.DIM, fx.SIZE, fx.OVERLAP, buckets=4)
+
+    def twice(batch: DataFrame, number: int) -> None:
+        ingest(batch, number)
+        ingest(batch, number)
+
+    streaming.continuous_ingest(arriving, twice, f"{base}/check", available_now=True).awaitTermination()
+    now = snapshots.read_snapshot(s, f"{base}/index")
+    jobs = now.table("jobs").groupBy("document_id").agg(F.count(F.lit(1)).alias("jobs"))
+    chunks = now.table("chunks").join(now.table("embeddings").select("chunk_id"), "chunk_id")
+    return chunks.join(now.table("documents").select("document_id", "live_version"), "document_id").join(jobs, "document_id").select("chunk_id", "document_id", "address_id", "ordinal", "text", "live_version", "jobs")
+
+
+def publish_snapshot(s: SparkSession, d: str) -> DataFrame:
+    """What a reader finds before, after a publish that fails in between, and after one that ends."""
+    root = f"{shared_dir(s)}/snapshots-{uuid.uuid4().hex}"
+    docs, old = fx.documents(s, d), stored(fx.chunks(s, d), "chunks")
+    snapshots.publish_snapshot(s, root, {"chunks": old, "documents": docs}, buckets=8)
+    new = old.filter(F.substring("document_id", 1, 1) < "8").withColumns({"doc_version": F.lit(2), "chunk_id": F.concat("chunk_id", F.lit("-2"))})
+    after, kept, _ = lifecycle.publish(docs, old.unionByName(new), old.select("chunk_id"), new.select("document_id", "doc_version").distinct())
+    broken = after.withColumn("live_version", F.when(F.col("document_id") > "f", F.raise_error(F.lit("lost in between"))).otherwise(F.col("live_version")).cast("int"))
+    seen = {"before": snapshots.read_snapshot(s, root)}
+    try:
+        snapshots.publish_snapshot(s, root, {"chunks": kept, "documents": broken})
+    except PySparkException:
+        seen["failed"] = snapshots.read_snapshot(s, root)
+    snapshots.publish_snapshot(s, root, {"chunks": kept, "documents": after})
+    seen["after"] = snapshots.read_snapshot(s, root)
+    found = [x.table("chunks").join(x.table("documents").select("document_id", "live_version"), "document_id").select(F.lit(when).alias("seen"), F.lit(x.version).alias("version"), "chunk_id", "doc_version", "live_version") for when, x in seen.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+def table_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    """Two models' embeddings written, one address of one model replaced, and that model read."""
+    path = f"{shared_dir(s)}/table-{uuid.uuid4().hex}"
+    rows = _simple_embeddings(s, d, fx.MODEL).drop("vec_id")
+    storage.write_table(rows.unionByName(rows.withColumn("model_id", F.lit("other:model"))), path)
+    bucket = storage.address_bucket(F.col("address_id"))
+    beside = rows.filter(bucket == storage.address_bucket(F.lit("addr-3")))  # a bucket is replaced whole
+    storage.write_table(beside.withColumn("embedding", F.when(F.col("address_id") == "addr-3", F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding"))), path)
+    return storage.read_table(s, path, fx.MODEL).select("chunk_id", "address_id", "model_id", "dim", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
+
+
 def flagship(s: SparkSession, d: str) -> DataFrame:
     return _hybrid(s, d)
 
@@ -426,6 +479,6 @@ QUERIES: dict[str, Query] = {
         vector_search, lexemes, lexemes_english, text_match, text_topk, text_topk_covers, rrf, hybrid_search, examined, query_job, publish,
         remove_cascade, missing_embeddings, rebuild, config_upsert, rebuild_active, ingest_job, job_status, failure_outcome, missing_by_address,
         address_status, stuck_jobs, query_metrics, ingest_cost, audit_duplicates, audit_orphans, audit_address, audit_domain, stream_gate,
-        stream_status, stream_lease, lease_timeout,
+        stream_status, stream_lease, lease_timeout, stream_ingest, publish_snapshot, table_roundtrip,
     )
 }

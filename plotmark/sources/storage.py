@@ -44,6 +44,15 @@ def read_uploads_partitioned(spark: SparkSession, root: str) -> DataFrame:
     return raw.select(F.col("address").cast("string").alias("address_id"), F.col("doc").cast("string").alias("upload_id"), F.col("path").alias("storage_ref"), F.col("content").alias("data"), F.col("modificationTime").alias("upload_ts"))
 
 
+def stream_uploads(spark: SparkSession, root: str, name: str = "original", files: int | None = None) -> DataFrame:
+    """Uploads that arrive under ``address=<id>/doc=<upload>/``, in files whose names match ``name``, as a stream of at most ``files``
+    in a batch."""
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    raw = reader.options(pathGlobFilter=name, recursiveFileLookup="true", **({"maxFilesPerTrigger": files} if files else {})).load(root)
+    folder = lambda key: F.url_decode(F.replace(F.regexp_extract("path", f"/{key}=([^/]*)/", 1), F.lit("+"), F.lit("%2B")))
+    return raw.select(folder("address").alias("address_id"), folder("doc").alias("upload_id"), F.col("path").alias("storage_ref"), F.col("content").alias("data"), F.col("modificationTime").alias("upload_ts"))
+
+
 def read_uploads_plain(spark: SparkSession, root: str) -> DataFrame:
     """Uploads under ``<root>/<address>/<upload>``, one file each; the content type follows the extension."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
