@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,6 +39,12 @@ def text_batches(texts: pa.Array, size: int = BATCH_BYTES) -> Iterator[tuple[int
     return ((a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b)
 
 
+def _stay_letters(word: str) -> bool:
+    if word.isascii():
+        return word.isalpha()
+    return word.isalpha() and unicodedata.normalize("NFC", unicodedata.normalize("NFC", word).lower()).isalpha()
+
+
 def words_of(text: str) -> list[str]:
     """``text`` cut before each run of white space that follows something else; uncut if it has white space of a kind
     that engines may class differently."""
@@ -89,8 +96,9 @@ class WordEncoder:
         return [np.array(e.ids, dtype=np.int32) for e in got], [np.array(e.offsets, dtype=np.int32).reshape(-1, 2) for e in got]
 
     def _learn(self, words: set[str]) -> None:
-        """Take in new words. Where white space is dropped, letters before a full stop or comma are encoded without it."""
-        stopped = [w for w in words if w.endswith((".", ",")) and w[:-1].isalpha()] if self.between else []
+        """Take in new words. Where white space is dropped, letters before a full stop or comma are encoded without it, if they are
+        letters in lower case as well (that of some ends in a mark, which the stop would join)."""
+        stopped = [w for w in words if w.endswith((".", ",")) and _stay_letters(w[:-1])] if self.between else []
         if not stopped:
             return self._learn_whole(list(words))
         stems = [w[:-1] for w in stopped]

@@ -19,6 +19,7 @@ from plotmark.llm.common import docs_of, materialise
 
 CAPACITY = 2048
 ROUNDS = 400  # of multiplicative weights
+GAP = 0.005  # above the lower bound at which a plan is good enough
 RUN = 1_000  # about so many pieces of one length are ranked together
 
 
@@ -88,7 +89,7 @@ def configurations(count: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tu
     an equal share of the volume bound, and lowers the weights of what it covers. Prices over the value of their best
     configuration are feasible in the dual program, whose largest value is the bound."""
     lengths = np.flatnonzero(count)
-    bound = float((lengths * count[lengths]).sum()) / capacity
+    bound = lower_bound(count, capacity)
     share = max(bound, 1.0) / rounds
     covered, found = np.zeros(len(count)), {}
     value = np.full(len(count), -1.0)
@@ -105,19 +106,46 @@ def configurations(count: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tu
     return [(dict(k), x) for k, x in sorted(found.items(), key=lambda kx: -kx[1])], bound
 
 
+def lower_bound(count: np.ndarray, capacity: int) -> float:
+    """The best of some known solutions of the dual program: prices by volume, steps of a price (so many pieces of a length fit at
+    most), and pieces of which one fills a sequence that others can't share."""
+    share = np.arange(capacity + 1) / capacity
+    best = float((share * count).sum())
+    for k in range(1, 65):
+        steps = np.arange(capacity + 1) * (k + 1)
+        best = max(best, float((np.where(steps % capacity, steps // capacity / k, share) * count).sum()))
+    for least in range(1, capacity // 2 + 1):
+        best = max(best, float(count[capacity - least + 1 :].sum() + (share * count)[least : capacity - least + 1].sum()))
+    return best
+
+
 def plan(count: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[list[tuple[int, int]], int]]:
     """Groups of alike sequences: (lengths with how many of each, number of sequences); every piece is in one.
 
-    The size of the plan depends on ``capacity`` alone: it has at most ``rounds`` configurations, and best fit
-    splits at most one group for each placement."""
+    The program is solved and rounded, and what is left goes by best fit. If that is more than ``GAP`` above the lower bound, the
+    program is also solved anew for what rounding left, and best fit of all pieces is tried: the smallest plan counts, so it never
+    has more sequences than best fit, longest first. The size of a plan depends on ``capacity`` alone: it has at most
+    ``rounds`` configurations a solution, and best fit splits at most one group for each placement."""
+    number = lambda groups: sum(n for _, n in groups)
+    best = None
+    for solutions in (1, 3, 0):
+        found = _rounded(count, capacity, rounds, solutions)
+        best = found if best is None or number(found) < number(best) else best
+        if number(best) <= np.ceil(lower_bound(count, capacity)) * (1 + GAP):
+            break
+    return best
+
+
+def _rounded(count: np.ndarray, capacity: int, rounds: int, solutions: int) -> list[tuple[list[tuple[int, int]], int]]:
     left = count.astype(np.int64).copy()
     groups: list[list] = []  # space, contents, number
-    for own, share in configurations(count, capacity, rounds)[0] if left.any() else []:
-        n = min(int(np.ceil(share)), min(int(left[k]) // a for k, a in own.items()))
-        if n > 0:
-            for k, a in own.items():
-                left[k] -= n * a
-            groups.append([capacity - sum(k * a for k, a in own.items()), list(own.items()), n])
+    for _ in range(solutions):
+        for own, share in configurations(left, capacity, rounds)[0] if left.any() else []:
+            n = min(int(np.ceil(share)), min(int(left[k]) // a for k, a in own.items()))
+            if n > 0:
+                for k, a in own.items():
+                    left[k] -= n * a
+                groups.append([capacity - sum(k * a for k, a in own.items()), list(own.items()), n])
     by_space: list[list[int]] = [[] for _ in range(capacity + 1)]
     for i, g in enumerate(groups):
         by_space[g[0]].append(i)

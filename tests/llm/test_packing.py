@@ -1,3 +1,4 @@
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -92,3 +93,38 @@ def test_no_pieces_and_bad_lengths(spark, no_docs):
     assert packing.pack_documents(no_docs).count() == 0
     with pytest.raises(ValueError):
         packing.pack(spark.createDataFrame([(1, 0, 3000)], "doc_id int, piece int, length long"))
+
+
+def test_letters_whose_lower_case_grows(spark):
+    """And all letters that normal form or lower case changes: alone, before marks and inside words."""
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    odd = [c for c in map(chr, range(128, 0x110000)) if not "\ud800" <= c <= "\udfff" and c.isalpha() and (len(c.lower()) > 1 or not unicodedata.normalize("NFC", c).isalpha() or (ord(c) % 97 == 0))]
+    assert "İ" in odd
+    texts = [f"{c}{mark} x{c}{mark} {c}x{mark} a{c}b{mark}{c}" for c in odd for mark in (".", ",", "")] + ["Seferden önce T.C. ve ALİ. geldi", "ALİ, ALİ. ali."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids_crc32 for r in packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")).collect()}
+    want = {i: zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4").tobytes()) for i, x in enumerate(texts)}
+    assert [texts[i] for i in want if got[i] != want[i]] == []
+
+
+@pytest.mark.parametrize(("full", "parts"), [(20_000, 2), (30_000, 3), (20_000, 4)])
+def test_cut_sequences_are_put_together_again(full, parts):
+    rng = np.random.default_rng(parts)
+    count = np.zeros(2049, dtype=np.int64)
+    for _ in range(full):
+        cuts = np.sort(rng.choice(np.arange(1, 2048), parts - 1, replace=False))
+        np.add.at(count, np.diff([0, *cuts, 2048]), 1)
+    groups = packing.plan(count, 2048)
+    got = np.zeros(2049, dtype=np.int64)
+    for contents, n in groups:
+        assert not n or sum(k * a for k, a in contents) <= 2048
+        for k, a in contents:
+            got[k] += a * n
+    assert (got == count).all()
+    assert full <= sum(n for _, n in groups) <= 1.01 * full and full * 0.98 <= packing.lower_bound(count, 2048) <= full + 1e-6
+
+
+def test_a_bound_where_volume_says_little():
+    count = np.zeros(2049, dtype=np.int64)
+    count[700:1000] = 100
+    assert packing.lower_bound(count, 2048) == pytest.approx(15_000) and sum(n for _, n in packing.plan(count, 2048)) == 15_000
