@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable, Iterator
+from itertools import accumulate, pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,8 +40,51 @@ def window_count(n: Column, size: int, overlap: int) -> Column:
     return F.when(n == 0, 0).when(n <= size, 1).otherwise(1 + more)
 
 
-def chunk_documents(documents: DataFrame, chunk_tokens: int = CHUNK_TOKENS, overlap: int = OVERLAP) -> DataFrame:
-    """(document_id, address_id, doc_version, segments) to chunk rows.
+class FileTokenizer:
+    """Offsets of the tokens of texts, by a tokenizer file that every worker finds at ``path``."""
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def offsets(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        return [e.offsets for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def pieces_of(text: str, offsets: list[tuple[int, int]]) -> list[str]:
+    """``text`` cut into one piece for each token, which joined are the text: a character that several tokens share is the first one's,
+    what lies between tokens is the next one's, and what follows the last is its own. Without tokens there are no pieces."""
+    ends = list(accumulate((end for _, end in offsets), max))
+    if ends:
+        ends[-1] = len(text)
+    return [text[a:b] for a, b in pairwise([0, *ends])]
+
+
+def tokens_with(documents: DataFrame, make_tokenizer: Callable[[], object], size: int = 2_000_000) -> DataFrame:
+    """``documents`` with ``tokens``, the pieces of each one's text by a tokenizer of the user's: ``make_tokenizer`` is called once for each
+    task, and returns an object with ``offsets(texts)``, the (start, end) in characters of the tokens of each text. About ``size`` bytes
+    of text are tokenised at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = make_tokenizer()
+        for b in batches:
+            part = np.cumsum(pc.binary_length(b.column(b.num_columns - 1)).to_numpy(zero_copy_only=False)) // size
+            for i, j in pairwise([0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]):
+                own = b.slice(i, j - i)
+                texts = own.column(own.num_columns - 1).to_pylist()
+                pieces = [pieces_of(t, o) for t, o in zip(texts, tokenizer.offsets(texts), strict=True)] if texts else []
+                yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.array(pieces, pa.list_(pa.string()))], [*own.schema.names[:-1], "tokens"])
+
+    rows = documents.drop("tokens").withColumn("whole_text", F.coalesce(document_text(F.col("segments")), F.lit("")))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{fields}, tokens array<string>")
+
+
+def chunk_documents(documents: DataFrame, chunk_tokens: int = CHUNK_TOKENS, overlap: int = OVERLAP, make_tokenizer: Callable[[], object] | None = None) -> DataFrame:
+    """(document_id, address_id, doc_version, segments) to chunk rows, sized by words or by the tokens of ``make_tokenizer`` (see
+    ``tokens_with``).
 
     All happens within the document's row, which is then inlined: no shuffle, and only finished chunks are copied.
     A chunk belongs to the last segment that starts at or before it. Documents without text have no chunks.
@@ -68,8 +118,11 @@ def chunk_documents(documents: DataFrame, chunk_tokens: int = CHUNK_TOKENS, over
 
         return let(prefix_sums(steps), located)
 
-    some = documents.filter(F.exists("segments", lambda s: s["text"] != ""))
-    rows = some.select("document_id", "address_id", "doc_version", F.inline(let(tokens(document_text(F.col("segments"))), windows)))
+    some = documents.select("document_id", "address_id", "doc_version", "segments").filter(F.exists("segments", lambda s: s["text"] != ""))
+    words = tokens(document_text(F.col("segments")))
+    if make_tokenizer is not None:
+        some, words = tokens_with(some, make_tokenizer).filter(F.size("tokens") > 0), F.col("tokens")
+    rows = some.select("document_id", "address_id", "doc_version", F.inline(let(words, windows)))
     return rows.select(key_id(F.col("document_id"), F.col("doc_version"), F.col("ordinal")).alias("chunk_id"), "document_id", "address_id", "doc_version", "ordinal", "page_number", "paragraph_index", "char_start", "char_end", "text", "token_count")
 
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plotmark.functions.text import let
+
 WORD = r"[0-9]+\.[0-9]+|[\p{L}\p{N}]+"
 #: The English stop words of the Snowball project.
 STOP_WORDS = (
@@ -171,32 +173,31 @@ def match_all(postings: DataFrame, wanted: DataFrame) -> DataFrame:
     return grouped.agg(F.count(F.lit(1)).alias("found"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits")).filter("found = needed").drop("found")
 
 
-def cover_density(positions: list[int], lexemes: list[str]) -> float:
-    """Rank of one text: each shortest interval with all lexemes adds the weight over 1 plus the words in it that
-    match nothing; the next one starts behind its first word."""
-    score, first = 0.0, 0
-    wanted = len(set(lexemes))
-    last: dict[str, int] = {}  # where each lexeme was met last; one pass, however many matches there are
-    for end, lexeme in enumerate(lexemes):
-        last[lexeme] = end
-        if len(last) < wanted or (start := min(last.values())) < first:
-            continue
-        matched = end - start
-        noise = positions[end] - positions[start] - matched
-        score += UNLABELLED / (1 + (noise if noise >= 0 else matched // 2))
-        first = start + 1
-    return score
-
-
-def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        hits = b.column(2).to_pylist()
-        ranks = [cover_density([h["position"] for h in x], [h["lexeme"] for h in x]) for x in hits]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ranks, pa.float64())], ["query_id", "chunk_id", "text_rank"])
+def cover_density(hits: Column) -> Column:
+    """Rank of one text by its (position, lexeme) in order: each shortest interval with all lexemes adds the weight over 1 plus the
+    words in it that match nothing; the next one starts behind its first word. One pass over the hits, which keeps where each
+    lexeme was met last."""
+
+    def fold(own: Column, names: Column) -> Column:
+        def meet(state: Column, hit: Column) -> Column:
+            last = F.transform(state["last"], lambda v, j: F.when(F.get(names, j) == hit["lexeme"], hit["at"]).otherwise(v))
+            return let(last, lambda now: let(F.array_min(now), lambda start: add(state, hit, now, start)))
+
+        def add(state: Column, hit: Column, last: Column, start: Column) -> Column:
+            whole = start >= state["first"]
+            matched = hit["at"] - start
+            noise = hit["position"] - F.get(own, start)["position"] - matched
+            more = F.lit(UNLABELLED) / (F.when(noise >= 0, noise).otherwise(F.floor(matched / 2)) + 1)
+            return F.struct(last.alias("last"), F.when(whole, start + 1).otherwise(state["first"]).alias("first"), F.when(whole, state["score"] + more).otherwise(state["score"]).alias("score"))
+
+        before = F.struct(F.transform(names, lambda _: F.lit(-1)).alias("last"), F.lit(0).alias("first"), F.lit(0.0).alias("score"))
+        placed = F.transform(own, lambda h, i: F.struct(i.alias("at"), h["position"].alias("position"), h["lexeme"].alias("lexeme")))
+        return F.aggregate(placed, before, meet, lambda state: state["score"])
+
+    return let(hits, lambda own: let(F.array_distinct(F.transform(own, lambda h: h["lexeme"])), lambda names: fold(own, names)))
 
 
 def rank_matches(matches: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, text_rank) by cover density; queries of one lexeme are ranked with built-in functions."""
-    one = matches.filter("needed = 1").select("query_id", "chunk_id", (F.size("hits") * F.lit(UNLABELLED)).alias("text_rank"))
-    more = matches.filter("needed > 1").select("query_id", "chunk_id", "hits").mapInArrow(_ranked, "query_id string, chunk_id string, text_rank double")
-    return one.unionByName(more)
+    """(query_id, chunk_id, text_rank) by cover density; where a query has one lexeme, every match is an interval."""
+    rank = F.when(F.col("needed") == 1, F.size("hits") * F.lit(UNLABELLED)).otherwise(cover_density(F.col("hits")))
+    return matches.select("query_id", "chunk_id", rank.alias("text_rank"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotmark.functions.text import collapse, let, lines, paragraphs, strip
+from plotmark.sources.storage import stored
 
 CHARS_PER_PAGE = 250
 SPARSE = 0.4
@@ -63,11 +64,26 @@ def table_text(cells: Column) -> Column:
 
 
 def exclude_in_tables(objects: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Layout objects whose midpoint is in no box of a real table on their page (edges count as inside)."""
-    real = boxes.filter(table_text(F.col("cells")) != "").select("page_id", *[F.col(c).alias(f"box_{c}") for c in ("x0", "top", "x1", "bottom")])
-    mid_x, mid_y = (F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("bottom")) / 2
-    inside = (F.col("o.page_id") == F.col("b.page_id")) & mid_x.between(F.col("box_x0"), F.col("box_x1")) & mid_y.between(F.col("box_top"), F.col("box_bottom"))
-    return objects.alias("o").join(real.alias("b"), inside, "left_anti")
+    """Layout objects whose midpoint is in no box of a real table on their page (edges count as inside). Coordinates are finite;
+    objects without a midpoint or page stay.
+
+    Boxes and midpoints are dealt to the cells of grids, whose widths are powers of two: a box to the at most four cells that it meets
+    of the grid as wide as it is, a midpoint to its cell in each grid of its page. So a crowded page is many small joins."""
+    edges = [F.col(c).cast("double").alias(c) for c in ("x0", "top", "x1", "bottom")]
+    real = boxes.filter(table_text(F.col("cells")) != "").select("page_id", *edges).filter("x1 >= x0 and bottom >= top")
+    level = F.ceil(F.log2(F.greatest(F.col("x1") - F.col("x0"), F.col("bottom") - F.col("top"), F.lit(1e-6)))).cast("int")
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / F.pow(F.lit(2.0), "level")), F.floor(F.col(b) / F.pow(F.lit(2.0), "level"))))
+    dealt = real.withColumn("level", level).withColumn("cell_x", cells("x0", "x1")).withColumn("cell_y", cells("top", "bottom"))
+    levels = stored(real.select("page_id", level.alias("level")).distinct(), "levels")
+
+    mid = [((F.col(a) + F.col(b)) / 2).cast("double").alias(c) for a, b, c in (("x0", "x1", "mid_x"), ("top", "bottom", "mid_y"))]
+    points = objects.select("page_id", *mid).distinct().join(levels, "page_id")
+    cell = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), "level"))
+    points = points.withColumns({"cell_x": cell("mid_x"), "cell_y": cell("mid_y")})
+    met = points.join(dealt, ["page_id", "level", "cell_x", "cell_y"]).filter(F.col("mid_x").between(F.col("x0"), F.col("x1")) & F.col("mid_y").between(F.col("top"), F.col("bottom")))
+    inside = met.select("page_id", "mid_x", "mid_y").distinct()
+    named = objects.select(F.struct("*").alias("row"), "page_id", *mid)
+    return named.join(inside, ["page_id", "mid_x", "mid_y"], "left_anti").select("row.*")
 
 
 def assemble_pages(pages: DataFrame) -> DataFrame:

@@ -40,6 +40,14 @@ _COVERS = """seq AS (SELECT h.*, lead(lexeme) OVER w AS next_lexeme, lead(at_wor
 trank AS (SELECT mt.query_id, mt.chunk_id, round(CASE WHEN needed = 1 THEN mt.hits * CAST(0.1 AS DOUBLE) ELSE c.covers END, 9) AS text_rank FROM mt
   LEFT JOIN (SELECT query_id, chunk_id, sum(CAST(0.1 AS DOUBLE) / (next_at - at_word)) AS covers FROM seq WHERE next_lexeme <> lexeme GROUP BY ALL) c USING (query_id, chunk_id)),
 ttop AS (SELECT query_id, chunk_id, text_rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY text_rank DESC, chunk_id) AS INT) AS rank FROM trank QUALIFY rank <= 32)"""
+#: Cover density for any number of lexemes: where each was met last, for every hit; an interval ends at the first hit of each least.
+_MANY_COVERS = """placed AS (SELECT h.*, needed, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY at_word) AS i FROM hit h JOIN mt USING (query_id, chunk_id)),
+lasts AS (SELECT n.query_id, n.chunk_id, n.i, n.needed, max(CASE WHEN n.lexeme = l.lexeme THEN n.i END) OVER (PARTITION BY n.query_id, n.chunk_id, l.lexeme ORDER BY n.i) AS met FROM placed n JOIN ql l USING (query_id)),
+starts AS (SELECT query_id, chunk_id, i, min(met) AS start FROM lasts GROUP BY ALL HAVING count(met) = any_value(needed)),
+spans AS (SELECT query_id, chunk_id, start, min(i) AS i FROM starts GROUP BY ALL),
+trank AS (SELECT query_id, chunk_id, round(sum(CAST(0.1 AS DOUBLE) / (1 + greatest(b.at_word - a.at_word - (s.i - s.start), 0))), 9) AS text_rank
+  FROM spans s JOIN placed a USING (query_id, chunk_id) JOIN placed b USING (query_id, chunk_id) WHERE a.i = s.start AND b.i = s.i GROUP BY ALL),
+ttop AS (SELECT query_id, chunk_id, text_rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY text_rank DESC, chunk_id) AS INT) AS rank FROM trank QUALIFY rank <= 32)"""
 _FUSED = """fused AS (SELECT coalesce(v.query_id, t.query_id) AS query_id, coalesce(v.chunk_id, t.chunk_id) AS chunk_id, coalesce(1.0 / (v.place + 60), 0) + coalesce(1.0 / (t.rank + 60), 0) AS score FROM vtop v FULL JOIN ttop t ON v.query_id = t.query_id AND v.chunk_id = t.chunk_id),
 found AS (SELECT f.query_id, k.address_id, k.document_id, k.ordinal, k.page_number, f.chunk_id, f.score, CAST(row_number() OVER (PARTITION BY f.query_id ORDER BY round(f.score, 12) DESC, k.document_id, k.ordinal, f.chunk_id) AS INT) AS rank FROM fused f JOIN k USING (chunk_id) QUALIFY rank <= 8)"""
 _HYBRID = f"{CHUNKS},\n{EMBEDDED},\n{_QUERIES.format(n=2)},\n{_ASKED},\n{_TOKENS},\n{_COVERS},\n{_FUSED}"
@@ -100,6 +108,7 @@ SELECT r.query_id, r.address_id, r.rank, round(r.score, 6) AS score, r.chunk_id,
 SELECT doc_id, lexeme, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS positions FROM t WHERE lexeme NOT IN ({_STOPS}) GROUP BY ALL""",
     "text_match": f"WITH {CHUNKS}, {_QUERIES.format(n=2)}, {_TOKENS} SELECT query_id, chunk_id, needed, CAST(hits AS INT) AS hits FROM mt",
     "text_topk": f"WITH {CHUNKS}, {_QUERIES.format(n=1)}, {_TOKENS}, {_COVERS} SELECT query_id, chunk_id, text_rank, rank FROM ttop",
+    "text_topk_three": f"WITH {CHUNKS}, {_QUERIES.format(n=3)}, {_TOKENS}, {_MANY_COVERS} SELECT query_id, chunk_id, text_rank, rank FROM ttop",
     "rrf": f"""WITH {_NEAR}, t AS (SELECT query_id, CASE WHEN vector_rank % 2 = 0 THEN chunk_id ELSE 't' || chunk_id END AS chunk_id, 13 - vector_rank AS rank FROM top)
 SELECT query_id, chunk_id, round(sum(s), 9) AS score FROM (SELECT query_id, chunk_id, CAST(1 AS DOUBLE) / (vector_rank + 60) AS s FROM top UNION ALL SELECT query_id, chunk_id, CAST(1 AS DOUBLE) / (rank + 60) FROM t) GROUP BY ALL""",
     "hybrid_search": f"WITH {_HYBRID} SELECT query_id, f.address_id, 'hash:feature-64' AS model_id, rank, round(score, 6) AS score, chunk_id, filename AS original_name, page_number, ordinal FROM found f JOIN d USING (document_id)",

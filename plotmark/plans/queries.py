@@ -115,6 +115,14 @@ def chunk_provenance(s: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_documents(fx.conversations(s, d), fx.SIZE, fx.OVERLAP).select("document_id", "ordinal", "char_start", "char_end", "page_number", "paragraph_index", "token_count")
 
 
+def chunk_windows_bpe(s: SparkSession, d: str) -> DataFrame:
+    """Windows of the tokens of a byte-level vocabulary file."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return chunking.chunk_documents(fx.segmented(s, d), fx.SIZE, fx.OVERLAP, lambda: chunking.FileTokenizer(path)).drop("doc_version")
+
+
 def provenance_rows(s: SparkSession, d: str) -> DataFrame:
     c = chunking.chunk_documents(fx.conversations(s, d), fx.SIZE, fx.OVERLAP).select("document_id", "ordinal", (F.col("char_end") - 1).alias("position"))
     return chunking.locate(c, chunking.segment_rows(fx.conversations(s, d)))
@@ -216,6 +224,11 @@ def text_topk(s: SparkSession, d: str) -> DataFrame:
     return search.text_topk(q, _postings(fx.chunks(s, d)), "simple")
 
 
+def text_topk_three(s: SparkSession, d: str) -> DataFrame:
+    q, _ = search.validate_queries(fx.queries(s, d, 3))
+    return search.text_topk(q, _postings(fx.chunks(s, d)), "simple")
+
+
 def text_topk_covers(s: SparkSession, d: str) -> DataFrame:
     q, _ = search.validate_queries(fx.queries(s, d, 3))
     return search.text_topk(q, _postings(fx.chunks(s, d), "english"), "english")
@@ -474,9 +487,9 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         content_hash, address_upsert, upload_gate, document_versions, accepted_uploads, paragraphs, page_markers, table_text, layout_exclude,
-        page_assembly, coverage, choose_extraction, chunk_windows, chunk_provenance, provenance_rows, version_chunks, hash_embedding_md5, hash_embedding_blake2b,
+        page_assembly, coverage, choose_extraction, chunk_windows, chunk_windows_bpe, chunk_provenance, provenance_rows, version_chunks, hash_embedding_md5, hash_embedding_blake2b,
         model_parse, embedding_cost, embedding_upsert, model_registry, dataset_names, storage_refs, vector_topk, lsh_topk, live_chunks,
-        vector_search, lexemes, lexemes_english, text_match, text_topk, text_topk_covers, rrf, hybrid_search, examined, query_job, publish,
+        vector_search, lexemes, lexemes_english, text_match, text_topk, text_topk_three, text_topk_covers, rrf, hybrid_search, examined, query_job, publish,
         remove_cascade, missing_embeddings, rebuild, config_upsert, rebuild_active, ingest_job, job_status, failure_outcome, missing_by_address,
         address_status, stuck_jobs, query_metrics, ingest_cost, audit_duplicates, audit_orphans, audit_address, audit_domain, stream_gate,
         stream_status, stream_lease, lease_timeout, stream_ingest, publish_snapshot, table_roundtrip,

@@ -91,3 +91,29 @@ def test_ids_tell_nulls_and_separators_apart(spark):
     rows = [("a", None, "b"), ("a", "b", None), (None, "a", "b"), ("a", "b", ""), ("a\x1fb", "", ""), ("a", "1:b", ""), ("1:a", "b", ""), ("-", None, None), (None, None, "-")]
     got = [r[0] for r in spark.createDataFrame(rows, "a string, b string, c string").select(key_id(F.col("a"), F.col("b"), F.col("c"))).collect()]
     assert len(set(got)) == len(rows)
+
+
+@pytest.mark.parametrize(
+    ("text", "offsets", "pieces"),
+    [
+        ("", [], []),
+        ("  ", [], []),
+        ("ab cd ", [(0, 2), (3, 5)], ["ab", " cd "]),
+        ("é!", [(0, 1), (0, 1), (1, 2)], ["é", "", "!"]),
+        (" x", [(1, 2)], [" x"]),
+    ],
+)
+def test_pieces_of_tokens_are_the_text(text, offsets, pieces):
+    assert chunking.pieces_of(text, offsets) == pieces
+
+
+def test_a_tokenizer_of_ones_own(spark):
+    class Letters:
+        def offsets(self, texts):
+            return [[(i, i + 1) for i in range(len(t))] for t in texts]
+
+    df = spark.createDataFrame([("d", "a", 1, [(1, 0, "abc"), (1, 1, "dé")]), ("e", "a", 1, []), ("f", "a", 1, [(1, 0, "x" * 5000)])], SCHEMA)
+    got = chunking.chunk_documents(df, 4, 1, Letters).orderBy("document_id", "ordinal").collect()
+    assert [(c.text, c.token_count, c.paragraph_index) for c in got if c.document_id == "d"] == [("abc\n", 4, 0), ("\n\ndé", 4, 0)]
+    assert sum(c.document_id == "f" for c in got) == 1 + -(-4996 // 3) and all(c.document_id != "e" for c in got)
+    assert chunking.tokens_with(df, Letters, size=10).count() == 3

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from plotmark.operators import lexical
 
@@ -14,8 +15,18 @@ from plotmark.operators import lexical
         ([1, 3, 4, 9], ["a", "a", "b", "c"], 0.1 / (1 + 6 - 2)),
     ],
 )
-def test_cover_density(positions, lexemes, rank):
-    assert lexical.cover_density(positions, lexemes) == pytest.approx(rank)
+def test_cover_density(spark, positions, lexemes, rank):
+    hits = spark.createDataFrame([(list(zip(positions, lexemes, strict=True)),)], "hits array<struct<position:int,lexeme:string>>")
+    assert hits.select(lexical.cover_density(F.col("hits"))).first()[0] == pytest.approx(rank)
+
+
+def test_ranking_needs_no_python_worker_and_time_in_proportion(spark):
+    rows = [("q", "c", 3, [(i, "abc"[i % 3]) for i in range(30_000)]), ("q", "d", 1, [(4, "a"), (9, "a")])]
+    matches = spark.createDataFrame(rows, "query_id string, chunk_id string, needed long, hits array<struct<position:int,lexeme:string>>")
+    ranked = lexical.rank_matches(matches)
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert {r.chunk_id: round(r.text_rank, 6) for r in ranked.collect()} == {"c": round(0.1 * 29_998, 6), "d": 0.2}
 
 
 @pytest.mark.parametrize(

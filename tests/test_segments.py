@@ -1,3 +1,5 @@
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from plotmark.operators import segments
@@ -62,3 +64,23 @@ def test_format(spark):
     df = spark.createDataFrame([(bytearray(b"%PDF-1"), "text/plain"), (bytearray(b"x"), "application/pdf"), (bytearray(b"x"), None), (None, None)], "data binary, content_type string")
     pdf, text = segments.split_by_format(df)
     assert (pdf.count(), text.count()) == (2, 2)
+
+
+def test_a_crowded_page_against_brute_force(spark):
+    """A hundred thousand objects and ten thousand boxes on one page, small and large ones."""
+    draw = np.random.default_rng(4)
+    at, span = draw.uniform(-5_000, 5_000, (10_000, 2)), 2.0 ** draw.uniform(-1, 4, (10_000, 2))
+    span[:3] = 700
+    cells = [["a", "b"], ["c", "d"]]
+    boxes = [("p", float(x), float(y), float(x + w), float(y + h), cells) for (x, y), (w, h) in zip(at, span, strict=True)]
+    boxes += [("p", -9e3, -9e3, 9e3, 9e3, [["a"]]), ("p", 5.0, 5.0, 4.0, 9.0, cells), ("q", -9e3, -9e3, 9e3, 9e3, cells), ("p", None, 0.0, 1.0, 1.0, cells)]
+    mids = draw.uniform(-5_100, 5_100, (100_000, 2))
+    mids[:200] = at[:200] + span[:200] * [1, 0]  # on an edge
+    rows = spark.createDataFrame(pd.DataFrame({"page_id": "p", "x0": mids[:, 0] - 1, "x1": mids[:, 0] + 1, "top": mids[:, 1] - 2, "bottom": mids[:, 1] + 2, "n": np.arange(100_000)}))
+    other = spark.createDataFrame([("r", 0.0, 1.0, 0.0, 1.0, -1), (None, 0.0, 1.0, 0.0, 1.0, -2), ("p", None, 1.0, 0.0, 1.0, -3), ("q", 0.0, 1.0, 0.0, 1.0, -4)], rows.schema)
+    got = {r.n for r in segments.exclude_in_tables(rows.union(other), spark.createDataFrame(boxes, "page_id string, x0 double, top double, x1 double, bottom double, cells array<array<string>>")).collect()}
+    x, y = (mids[:, 0] - 1 + mids[:, 0] + 1) / 2, (mids[:, 1] - 2 + mids[:, 1] + 2) / 2
+    inside = np.zeros(100_000, bool)
+    for (a, b), (w, h) in zip(at, span, strict=True):
+        inside |= (x >= a) & (x <= a + w) & (y >= b) & (y <= b + h)
+    assert 1_000 < inside.sum() < 99_000 and got == set(np.flatnonzero(~inside).tolist()) | {-1, -2, -3}
