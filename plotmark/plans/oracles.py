@@ -132,6 +132,8 @@ UNION ALL SELECT document_id, 'document', true, 'store/address=' || address_id |
 s AS (SELECT address_id, (SELECT count(*) FROM d WHERE d.address_id = a.address_id) AS document_count, (SELECT count(*) FROM jobs j WHERE replace(j.address_id, 'addr-', 'src') = a.address_id AND state IN {_IN_FLIGHT}) AS in_flight,
   (SELECT count(*) FROM jobs j WHERE replace(j.address_id, 'addr-', 'src') = a.address_id AND state = 'failed') AS failed, (SELECT count(*) FROM k WHERE k.address_id = a.address_id AND ordinal % 3 <> 0) AS missing_embeddings FROM a)
 SELECT *, document_count > 0 AS has_documents, in_flight = 0 AND failed = 0 AND missing_embeddings = 0 AS fully_indexed FROM s""",
+    "address_jobs": f"""WITH {JOBS}, placed AS (SELECT address_id, CAST(row_number() OVER (PARTITION BY address_id ORDER BY created_at DESC, task_id) AS INT) AS place, task_id, state, created_at FROM jobs QUALIFY place <= 5)
+SELECT p.*, (SELECT count(*) FROM jobs j WHERE j.address_id = p.address_id AND state = 'failed') AS failed FROM placed p""",
     "stuck_jobs": f"WITH {JOBS} SELECT task_id, state, lease_until FROM jobs WHERE state IN {_IN_FLIGHT} AND (lease_until IS NULL OR lease_until < TIMESTAMP '2024-01-31 17:00:00') AND created_at < TIMESTAMP '2024-01-31 16:50:00'",
     "query_metrics": """SELECT 'src' || (user_id % 20) AS address_id, 'm' || (event_id % 2) AS model_id, count(*) AS queries, round(avg(CAST(round(value * 10) AS INT)), 6) AS avg_latency_ms, quantile_disc(CAST(round(value * 10) AS INT), 0.95) AS p95_latency_ms,
   sum(event_id % 50) AS candidates_examined, sum(event_id % 9) AS chunks_returned, CAST(sum(event_id % 7) AS DECIMAL(12,6)) AS cost_usd FROM events GROUP BY 1, 2""",

@@ -301,7 +301,7 @@ def rebuild(s: SparkSession, d: str) -> DataFrame:
     old = c.select("chunk_id", "address_id", F.lit("hash:feature-128").alias("model_id"), F.lit(128).alias("dim"), F.array(F.lit(0.0).cast("float")).alias("embedding"))
     some = old.filter("chunk_id < '8'").withColumns({"model_id": F.lit(fx.MODEL), "dim": F.lit(-1)})
     config = fx.table(s, d, "region").filter("r_regionkey = 0").select(F.lit("active_model").alias("key"), F.lit("hash:feature-128").alias("value"), F.timestamp_seconds(F.lit(0)).alias("updated_at"))
-    out, config = lifecycle.rebuild(c, fx.documents(s, d), old.unionByName(some), config, fx.MODEL, fx.DIM, _now())
+    out, config, _ = lifecycle.rebuild(c, fx.documents(s, d), old.unionByName(some), config, fx.MODEL, fx.DIM, _now())
     active = config.filter("key = 'active_model'").select(F.col("value").alias("model_id"), F.lit(True).alias("active"))
     return out.join(active, "model_id", "left").select("chunk_id", "model_id", "dim", F.coalesce("active", F.lit(False)).alias("active"))
 
@@ -347,6 +347,13 @@ def address_status(s: SparkSession, d: str) -> DataFrame:
     return status.address_status(addresses, fx.documents(s, d), jobs, missing_by_address(s, d))
 
 
+def address_jobs(s: SparkSession, d: str) -> DataFrame:
+    """The five newest jobs of each address."""
+    jobs = status.job_status(fx.job_events(s, d))
+    found = status.address_status(jobs.select("address_id").distinct(), fx.documents(s, d), jobs, missing_by_address(s, d), with_jobs=5)
+    return found.select("address_id", "failed", F.inline("jobs"))
+
+
 def stuck_jobs(s: SparkSession, d: str) -> DataFrame:
     return status.stuck_jobs(status.job_status(fx.job_events(s, d)), F.timestamp_seconds(F.lit(1706720400))).select("task_id", "state", "lease_until")
 
@@ -491,7 +498,7 @@ QUERIES: dict[str, Query] = {
         model_parse, embedding_cost, embedding_upsert, model_registry, dataset_names, storage_refs, vector_topk, lsh_topk, live_chunks,
         vector_search, lexemes, lexemes_english, text_match, text_topk, text_topk_three, text_topk_covers, rrf, hybrid_search, examined, query_job, publish,
         remove_cascade, missing_embeddings, rebuild, config_upsert, rebuild_active, ingest_job, job_status, failure_outcome, missing_by_address,
-        address_status, stuck_jobs, query_metrics, ingest_cost, audit_duplicates, audit_orphans, audit_address, audit_domain, stream_gate,
+        address_status, address_jobs, stuck_jobs, query_metrics, ingest_cost, audit_duplicates, audit_orphans, audit_address, audit_domain, stream_gate,
         stream_status, stream_lease, lease_timeout, stream_ingest, publish_snapshot, table_roundtrip,
     )
 }
