@@ -13,6 +13,22 @@ from pyspark.sql import functions as F
 from plotmark.functions.text import let
 
 WORD = r"[0-9]+\.[0-9]+|[\p{L}\p{N}]+"
+_HOST = r"(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,}"
+#: Kinds of words, tried in this order: e-mail addresses, addresses of pages, hosts, versions, numbers with an exponent, words that begin
+#: with a digit, signed numbers, compounds with hyphens, words. Without looks ahead or behind, so all engines agree.
+KINDS = "|".join(
+    (
+        rf"[a-z0-9._%+-]+@{_HOST}",
+        rf"(?:[a-z]+://)?{_HOST}(?::[0-9]+)?/(?:[^ \t\n\r<>\"]*[^ \t\n\r<>\".,;:!?)])?",
+        rf"(?:[a-z]+://)?{_HOST}(?::[0-9]+)?",
+        r"[0-9]+(?:\.[0-9]+){2,}",
+        r"[-+]?[0-9]+(?:\.[0-9]+)?e[-+]?[0-9]+",
+        r"[0-9]+\p{L}[\p{L}\p{N}]*",
+        r"[-+]?[0-9]+(?:\.[0-9]+)?",
+        r"\p{L}[\p{L}\p{N}]*(?:-[\p{L}\p{N}]+)+",
+        r"[\p{L}\p{N}]+",
+    )
+)
 #: The English stop words of the Snowball project.
 STOP_WORDS = (
     "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they "
@@ -25,8 +41,27 @@ CONFIGS = ("simple", "english_nostem", "english")
 UNLABELLED = 0.1  # weight of a lexeme
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+def words(text: Column, kinds: bool = False) -> Column:
+    """Words in lower case: runs of letters and digits, and decimals. With ``kinds``, as full-text parsers for English tell them apart:
+    e-mail addresses, hosts, versions and signed numbers are one word each; the address of a page is followed by its host and
+    its path, and a compound by its parts, each at a place of its own; what names a protocol is none."""
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    if not kinds:
+        return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
+
+    def parts(word: Column) -> Column:
+        bare = F.regexp_replace(word, "^[a-z]+://", "")
+        host = F.substring_index(bare, "/", 1)
+        path = F.substring(bare, F.char_length(host) + 1, F.char_length(bare))
+        compound = F.rlike(word, F.lit(r"^\p{L}")) & F.contains(word, F.lit("-")) & ~F.contains(word, F.lit("."))
+        return (
+            F.when(F.contains(word, F.lit("@")), F.array(word))
+            .when(F.contains(bare, F.lit("/")), F.array(bare, host, path))
+            .when(compound, F.concat(F.array(word), F.split(word, "-")))
+            .otherwise(F.array(bare))
+        )
+
+    return F.flatten(F.transform(F.regexp_extract_all(lower, F.lit(KINDS), F.lit(0)), parts))
 
 
 class PorterStemmer:
@@ -139,14 +174,14 @@ def _stemmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_stem(w) for w in words], pa.string())], ["word", "lexeme"])
 
 
-def lexemes(texts: DataFrame, config: str = "english", id_cols: tuple[str, ...] = ("chunk_id",), text_col: str = "text") -> DataFrame:
+def lexemes(texts: DataFrame, config: str = "english", id_cols: tuple[str, ...] = ("chunk_id",), text_col: str = "text", kinds: bool = False) -> DataFrame:
     """(ids, lexeme, positions): where each lexeme of a text stands, counted from 1 over all words, stop words too.
 
     ``simple`` keeps words as they are, ``english_nostem`` leaves out stop words, ``english`` also stems (each distinct
-    word once, joined back). Null text has no lexemes."""
+    word once, joined back). ``kinds`` tells kinds of words apart, see ``words``. Null text has no lexemes."""
     if config not in CONFIGS:
         raise ValueError(f"config is one of {CONFIGS}")
-    each = texts.select(*id_cols, F.posexplode(words(F.col(text_col))).alias("at", "word"))
+    each = texts.select(*id_cols, F.posexplode(words(F.col(text_col), kinds)).alias("at", "word"))
     if config != "simple":
         each = each.filter(~F.col("word").isin(STOP_WORDS))
     found = each.groupBy(*id_cols, "word").agg(F.sort_array(F.collect_list(F.col("at") + 1)).alias("positions"))
@@ -157,9 +192,9 @@ def lexemes(texts: DataFrame, config: str = "english", id_cols: tuple[str, ...]
     return stemmed.agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
 
 
-def query_lexemes(queries: DataFrame, config: str = "english") -> DataFrame:
-    """(query_id, address_id, lexeme, needed): the distinct lexemes of each query, and how many it has."""
-    own = lexemes(queries, config, ("query_id", "address_id"), "query_text").drop("positions")
+def query_lexemes(queries: DataFrame, config: str = "english", kinds: bool = False) -> DataFrame:
+    """(query_id, address_id, lexeme, needed): the distinct lexemes of each query, and how many it has. ``kinds`` as the postings' own."""
+    own = lexemes(queries, config, ("query_id", "address_id"), "query_text", kinds).drop("positions")
     needed = own.groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"))
     return own.join(needed, "query_id")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plotmark.operators.lexical import STOP_WORDS
+from plotmark.operators.lexical import KINDS, STOP_WORDS
 from plotmark.operators.status import RETRYABLE
 from plotmark.plans.base_sql import CHUNKS, CONVERSATIONS, DOCS, EMBEDDED, INGEST, JOBS, LATER, SEGMENTS, SPACES, UPLOADS, chunk_sql
 
@@ -106,6 +106,13 @@ ranked AS (SELECT v.query_id, k.address_id, 1.0 / (v.place + 60) AS score, v.chu
 SELECT r.query_id, r.address_id, r.rank, round(r.score, 6) AS score, r.chunk_id, d.filename AS original_name FROM ranked r JOIN d USING (document_id)""",
     "lexemes": f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), {_DOTS}) AS ws FROM documents), t AS (SELECT doc_id, unnest(ws) AS lexeme, unnest(range(1, len(ws) + 1)) AS i FROM w)
 SELECT doc_id, lexeme, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS positions FROM t WHERE lexeme NOT IN ({_STOPS}) GROUP BY ALL""",
+    "lexeme_kinds": f"""WITH t AS (SELECT 'd' || doc_id AS id, text || ' well-known long-term-3 -12.5 +7 3e-4 1.2.3 3rd doc-' || doc_id AS text FROM documents
+  UNION ALL SELECT 'p' || page_id, 'See ' || url || '. Or ask me@' || regexp_extract(url, '//([^/]+)', 1) || '!' FROM pages),
+w AS (SELECT id, list_transform(regexp_extract_all(lower(text), '{KINDS}'), lambda x: [x, regexp_replace(x, '^[a-z]+://', '')]) AS ws FROM t),
+p AS (SELECT id, flatten(list_transform(ws, lambda x: CASE WHEN contains(x[1], '@') THEN [x[1]] WHEN contains(x[2], '/') THEN [x[2], split_part(x[2], '/', 1), x[2][strpos(x[2], '/'):]]
+  WHEN regexp_matches(x[1], '^\\p{{L}}') AND contains(x[1], '-') AND NOT contains(x[1], '.') THEN list_prepend(x[1], string_split(x[1], '-')) ELSE [x[2]] END)) AS ws FROM w),
+u AS (SELECT id, unnest(ws) AS lexeme, unnest(range(1, len(ws) + 1)) AS i FROM p)
+SELECT id, lexeme, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS positions FROM u WHERE lexeme NOT IN ({_STOPS}) GROUP BY ALL""",
     "text_match": f"WITH {CHUNKS}, {_QUERIES.format(n=2)}, {_TOKENS} SELECT query_id, chunk_id, needed, CAST(hits AS INT) AS hits FROM mt",
     "text_topk": f"WITH {CHUNKS}, {_QUERIES.format(n=1)}, {_TOKENS}, {_COVERS} SELECT query_id, chunk_id, text_rank, rank FROM ttop",
     "text_topk_three": f"WITH {CHUNKS}, {_QUERIES.format(n=3)}, {_TOKENS}, {_MANY_COVERS} SELECT query_id, chunk_id, text_rank, rank FROM ttop",

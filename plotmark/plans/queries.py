@@ -210,6 +210,13 @@ def lexemes(s: SparkSession, d: str) -> DataFrame:
     return lexical.lexemes(fx.table(s, d, "documents"), "english_nostem", ("doc_id",)).withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
 
 
+def lexeme_kinds(s: SparkSession, d: str) -> DataFrame:
+    """Lexemes of documents and of the addresses of pages, with their kinds."""
+    docs = fx.table(s, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.concat("text", F.lit(" well-known long-term-3 -12.5 +7 3e-4 1.2.3 3rd"), F.lit(" doc-"), "doc_id").alias("text"))
+    pages = fx.table(s, d, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), F.concat(F.lit("See "), "url", F.lit(". Or ask me@"), F.regexp_extract("url", "//([^/]+)", 1), F.lit("!")).alias("text"))
+    return lexical.lexemes(docs.union(pages), "english_nostem", ("id",), kinds=True).withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
+
+
 def lexemes_english(s: SparkSession, d: str) -> DataFrame:
     return lexical.lexemes(fx.table(s, d, "documents"), "english", ("doc_id",))
 
@@ -496,7 +503,7 @@ QUERIES: dict[str, Query] = {
         content_hash, address_upsert, upload_gate, document_versions, accepted_uploads, paragraphs, page_markers, table_text, layout_exclude,
         page_assembly, coverage, choose_extraction, chunk_windows, chunk_windows_bpe, chunk_provenance, provenance_rows, version_chunks, hash_embedding_md5, hash_embedding_blake2b,
         model_parse, embedding_cost, embedding_upsert, model_registry, dataset_names, storage_refs, vector_topk, lsh_topk, live_chunks,
-        vector_search, lexemes, lexemes_english, text_match, text_topk, text_topk_three, text_topk_covers, rrf, hybrid_search, examined, query_job, publish,
+        vector_search, lexemes, lexeme_kinds, lexemes_english, text_match, text_topk, text_topk_three, text_topk_covers, rrf, hybrid_search, examined, query_job, publish,
         remove_cascade, missing_embeddings, rebuild, config_upsert, rebuild_active, ingest_job, job_status, failure_outcome, missing_by_address,
         address_status, address_jobs, stuck_jobs, query_metrics, ingest_cost, audit_duplicates, audit_orphans, audit_address, audit_domain, stream_gate,
         stream_status, stream_lease, lease_timeout, stream_ingest, publish_snapshot, table_roundtrip,

@@ -53,3 +53,27 @@ def test_lexemes_and_matches(spark):
     assert lexical.rank_matches(matches).first().text_rank == pytest.approx(0.1)
     with pytest.raises(ValueError):
         lexical.lexemes(texts, "german")
+
+
+@pytest.mark.parametrize(
+    ("text", "words"),
+    [
+        ("foo-bar-beta1", ["foo-bar-beta1", "foo", "bar", "beta1"]),
+        ("http://example.com/stuff/index.html", ["example.com/stuff/index.html", "example.com", "/stuff/index.html"]),
+        ("https://Example.com:8080", ["example.com:8080"]),
+        ("Write to Joe.Doe+x@mail.example.org, or not.", ["write", "to", "joe.doe+x@mail.example.org", "or", "not"]),
+        ("-12.5 +7 42 3e-4 8.3.0", ["-12.5", "+7", "42", "3e-4", "8.3.0"]),
+        ("a mat - it ate", ["a", "mat", "it", "ate"]),
+        ("the 3rd éclair-shop, naïve", ["the", "3rd", "éclair-shop", "éclair", "shop", "naïve"]),
+        ("(see example.com/a?b=c).", ["see", "example.com/a?b=c", "example.com", "/a?b=c"]),
+        ("snake_case it's", ["snake", "case", "it", "s"]),
+        (None, []),
+    ],
+)
+def test_kinds_of_words(spark, text, words):
+    assert spark.createDataFrame([(text,)], "t string").select(lexical.words(F.col("t"), kinds=True).alias("w")).first().w == words
+
+
+def test_kinds_leave_plain_prose_as_it_is(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.regexp_replace("text", "[^\\p{L}\\n ]", " ").alias("t"))
+    assert docs.filter(lexical.words(F.col("t"), kinds=True) != lexical.words(F.col("t"))).count() == 0 < docs.count()
