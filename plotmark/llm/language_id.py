@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 ORDERS, BUCKETS = 3, 1 << 15  # n-grams of 1 to ORDERS letters, hashed
+LANGUAGES = 128  # of the labels those with most rows, which a model learns at most
 SAMPLE = 6_000  # labelled rows that the fit sees at most, alike many of each language
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 1e-4, 1e-5
 UNDETERMINED = "und"
@@ -123,15 +124,19 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
-def fit_language_model(labelled: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+def fit_language_model(labelled: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: int = LANGUAGES) -> LanguageModel:
     """Learn from the rows of ``labelled`` that have a language and letters.
 
     Document frequencies are counted over all of them (one array of ``BUCKETS`` counts leaves each task); the
     weights are fitted to at most ``sample`` rows, chosen by the hash of their ids so that languages have alike
-    many, of which every fifth is kept for the temperature. Without rows the model knows no language.
+    many, of which every fifth is kept for the temperature. Without rows the model knows no language. Of labels the
+    ``languages`` with most rows are learnt (of equally many those first by name), so that the model's size doesn't follow the
+    number of unlike labels, such as misspelt ones; rows with other labels count as text only.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    of = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    of = {r["lang"]: r["n"] for r in counts.orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    total = counts.agg(F.sum("n")).first()[0]
     languages = sorted(of)
     if not languages:
         return LanguageModel([], np.ones(BUCKETS), np.zeros((BUCKETS, 0)), 1.0)
@@ -149,11 +154,11 @@ def fit_language_model(labelled: DataFrame, sample: int = SAMPLE, id_col: str =
     idf = np.full(BUCKETS, 0.0)
     for r in counted:
         idf[r["bucket"]] = r["n"]
-    idf = np.log((1 + sum(of.values())) / (1 + idf)) + 1
+    idf = np.log((1 + total) / (1 + idf)) + 1
 
-    share = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, sample / len(languages) / of[k])]), F.col("lang"))
+    share = F.try_element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, sample / len(languages) / of[k])]), F.col("lang"))
     order = F.xxhash64("doc_id")
-    chosen = rows.withColumn("order", order).filter(F.pmod("order", F.lit(1 << 20)) < share * (1 << 20))
+    chosen = rows.withColumn("order", order).filter(F.col("lang").isin(languages)).filter(F.pmod("order", F.lit(1 << 20)) < share * (1 << 20))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

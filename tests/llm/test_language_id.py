@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from plotmark.llm import language_id as lid
+from tests.llm.conftest import prose
 
 
 def test_held_out_accuracy_and_remainders(spark):
@@ -44,3 +45,9 @@ def test_odd_documents(odd_docs, no_docs):
     nothing = lid.fit_language_model(no_docs)
     assert {r.lang_pred for r in lid.predict_language(odd_docs, nothing).collect()} == {"und"}
     assert lid.predict_language(no_docs, model).count() == 0
+
+
+def test_many_labels_are_bounded(spark):
+    rows = [(i, prose(40, i), "en" if i % 2 else "fr") for i in range(60)] + [(100 + i, prose(40, 100 + i), f"odd{i}") for i in range(300)]
+    model = lid.fit_language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languages=3)
+    assert model.languages == ["en", "fr", "odd0"] and model.weights.shape[1] == 3
