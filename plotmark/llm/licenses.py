@@ -11,6 +11,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plotmark.functions.text import let
 from plotmark.llm.common import materialise
 
 _WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
@@ -35,13 +36,21 @@ FITNESS FOR A PARTICULAR PURPOSE. See the GNU {} License for more details. You s
 along with this program. If not, see https://www.gnu.org/licenses/."""
 
 
+_FREE = "The GNU {} License is a free, copyleft license for software and other kinds of works{}."
+_CC = """By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative
+Commons {} International Public License ("Public License"). To the extent this Public License may be interpreted as a
+contract, You are granted the Licensed Rights in consideration of Your acceptance of these terms and conditions, and the Licensor
+grants You such rights in consideration of benefits the Licensor receives from making the Licensed Material available under these
+terms and conditions."""
+
+
 def _gnu(kind: str, version: int) -> str:
     return _GNU.format(kind, version, kind, kind)
 
 
-#: Public license notices, headers, titles and bodies, by SPDX-like name.
+#: Public license notices, headers, titles, bodies and, of long bodies, paragraphs that no other license has, by SPDX-like name.
 TEMPLATES = {
-    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3.", _gnu("Affero General Public", 3), "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3.", _gnu("Affero General Public", 3), "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", _FREE.format("Affero General Public", ", specifically designed to ensure cooperation with the community in the case of network server software")],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
@@ -50,15 +59,31 @@ in writing, software distributed under the License is distributed on an "AS IS"
 KIND, either express or implied. See the License for the specific language governing permissions and limitations under the
 License.""",
         "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+        """2. Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual,
+worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly
+display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.""",
     ],
     "BSD-2-Clause": [f"BSD 2-Clause License Copyright (c) All rights reserved. {_BSD} {_BSD_END}", f"{_BSD} {_BSD_END}"],
     "BSD-3-Clause": ["Use of this source code is governed by a BSD-style license.", f"BSD 3-Clause License Copyright (c) All rights reserved. {_BSD} {_BSD_THIRD} {_BSD_END}", f"{_BSD} {_BSD_THIRD} {_BSD_END}"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "CC0-1.0": ["Released into the public domain under CC0 1.0.", "Creative Commons Legal Code CC0 1.0 Universal"],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", _gnu("General Public", 2), "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", _gnu("General Public", 3), "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", _CC.format("Attribution 4.0")],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", _CC.format("Attribution-NonCommercial 4.0")],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", _CC.format("Attribution-ShareAlike 4.0")],
+    "CC0-1.0": [
+        "Released into the public domain under CC0 1.0.",
+        "Creative Commons Legal Code CC0 1.0 Universal",
+        """The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights (defined below) upon
+the creator and subsequent owner(s) (each and all, an "owner") of an original work of authorship and/or a database (each, a "Work").""",
+    ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        _gnu("General Public", 2),
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        """The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public
+License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.
+This General Public License applies to most of the software of the Free Software Foundation and to any other program whose authors
+commit to using it. You can apply it to your programs, too.""",
+    ],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", _gnu("General Public", 3), "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", _FREE.format("General Public", "")],
     "ISC": [
         """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
 that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR
@@ -67,7 +92,13 @@ SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL D
 LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
 CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
     ],
-    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3.", _gnu("Lesser General Public", 3), "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "LGPL-3.0": [
+        "Licensed under the GNU Lesser General Public License, version 3.",
+        _gnu("Lesser General Public", 3),
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        """This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public
+License, supplemented by the additional permissions listed below.""",
+    ],
     "MIT": [
         "Released under the MIT License.",
         f"""MIT License Copyright (c) Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
@@ -83,6 +114,7 @@ THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
         """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with
 this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
         "Mozilla Public License Version 2.0",
+        '1.1. "Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.',
     ],
     "Proprietary": ["All rights reserved."],
     "Unlicense": [
@@ -108,6 +140,48 @@ def _listed(templates: dict[str, list[str]]) -> list[tuple[str, int, str]]:
     return [(k, i, text) for k, v in sorted(tags.items()) for i, text in enumerate(v)]
 
 
+def _within(terms: Column, counts: dict[tuple[str, int], Counter], weight: dict[str, float], unseen: float, threshold: float) -> Column:
+    """Whether the cosine of ``terms`` to some template may reach the threshold, by bounds that lose nothing.
+
+    (1) Of each template the rarest terms are probes, so many that the others hold less than threshold squared of its squares: without
+    a probe there is no match. (2) The weights of known terms are at most ``unseen``, which all unknown ones weigh, and their squares are
+    the most when one term has all the repetitions. (3) The terms that are shared with one template must hold threshold squared of its
+    squares, and of those of ``terms``, counting repetitions, beside the distinct unknown terms.
+    """
+    least = max(threshold - 1e-6, 0.0) ** 2  # scores are rounded to six digits
+    close, probes = [], set()
+    for c in counts.values():
+        square = {t: (n * weight[t]) ** 2 for t, n in c.items()}
+        whole, left = sum(square.values()), 1.0
+        mine = []
+        for t in sorted(c, key=lambda t: (-weight[t], t)):
+            if left >= least:
+                mine.append(t)
+                left -= square[t] / whole
+        probes.update(mine)
+        close.append({"probes": mine, "terms": [{"term": t, "share": square[t] / whole, "square": weight[t] ** 2} for t in sorted(c)]})
+    close = F.from_json(F.lit(json.dumps(close)), "array<struct<probes array<string>, terms array<struct<term string, share double, square double>>>>")
+
+    def sums(xs: Column, value) -> Column:
+        return F.aggregate(xs, F.lit(0.0), lambda a, x: a + value(x))
+
+    def reaches(template: Column, known: Column, distinct: Column, unknown: Column) -> Column:
+        shared = F.filter(template["terms"], lambda x: F.array_contains(distinct, x["term"]))
+        times = lambda x: F.size(known) - F.size(F.array_remove(known, x["term"]))
+        own = lambda s: sums(s, lambda x: F.pow(times(x).cast("double"), F.lit(2.0)) * x["square"])
+        enough = let(shared, lambda s: (sums(s, lambda x: x["share"]) >= least) & (own(s) * (1 - least) >= unknown * (least * unseen * unseen)))
+        return F.arrays_overlap(template["probes"], distinct) & enough
+
+    def bounded(known: Column, distinct: Column, unknown: Column) -> Column:
+        repeats = (F.size(known) - F.size(distinct)).cast("double")
+        most = F.size(distinct) - 1 + (repeats + 1) * (repeats + 1)
+        return (most * (1 - least) >= unknown * least) & F.exists(close, lambda t: reaches(t, known, distinct, unknown))
+
+    vocabulary = sorted(weight)
+    known, unknown = F.filter(terms, lambda t: t.isin(vocabulary)), F.size(F.array_distinct(F.filter(terms, lambda t: ~t.isin(vocabulary))))
+    return F.exists(terms, lambda t: t.isin(sorted(probes))) & let(known, lambda k: let(F.array_distinct(k), lambda d: let(unknown, lambda u: bounded(k, d, u))))
+
+
 def _table(spark, rows: list[dict], schema: str) -> DataFrame:
     """A small table of literals."""
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
@@ -128,9 +202,8 @@ def license_scan(
     Every line of the whole text, every header block (of several lines, between lines without letters and digits) and the
     whole file (of several blocks) are compared with every template by the cosine of TF-IDF vectors. Document
     frequencies are taken over all files for the templates' terms (a bounded list); all other terms weigh as if
-    unseen, the largest weight, so prose that shares a few words stays far from a notice. What has fewer than a share of
-    ``threshold`` squared of its distinct terms among the templates' is not compared. A file without a notice inherits
-    from the nearest ancestor directory that holds a license file (named license, copying or notice) with one; ancestors
+    unseen, the largest weight, so prose that shares a few words stays far from a notice. Left out are lines, blocks and files only
+    whose cosine can't reach the threshold by the bounds of ``_within``. A file without a notice inherits from the nearest ancestor directory that holds a license file (named license, copying or notice) with one; ancestors
     are joined to directories, not to files.
 
     Defined cases: null text is empty and has no notice; a null path has no ancestors; ties of score go to the
@@ -143,9 +216,8 @@ def license_scan(
     counts = {(k, i): Counter(re.findall("[a-z0-9]+", text.lower())) for k, i, text in listed}
     vocabulary = sorted({t for c in counts.values() for t in c})
     rows = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    known = F.lit(vocabulary)
 
-    seen = rows.select(F.explode(F.concat(F.array_intersect(_terms(F.col("text")), known), F.array(F.lit("")))).alias("term"))
+    seen = rows.select(F.explode(F.concat(F.array_distinct(F.filter(_terms(F.col("text")), lambda t: t.isin(vocabulary))), F.array(F.lit("")))).alias("term"))
     frequency = {r["term"]: r["n"] for r in seen.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = frequency.pop("", 0)
     weight = {t: math.log((1 + total) / (1 + frequency.get(t, 0))) + 1 for t in vocabulary}
@@ -156,14 +228,15 @@ def license_scan(
     vectors = _table(spark, vectors, "term string, name string, variant int, value double")
 
     def units(scope: int, parts: Column) -> Column:
-        return F.transform(parts, lambda x, i: F.named_struct(F.lit("scope"), F.lit(scope), F.lit("at"), i, F.lit("content"), x))
+        return F.transform(parts, lambda x, i: F.named_struct(F.lit("scope"), F.lit(scope), F.lit("at"), i, F.lit("terms"), _terms(x)))
 
     blocks = F.split("text", GAP)
     whole = F.when(F.size(blocks) > 1, F.array("text")).otherwise(F.array().cast("array<string>"))
-    each = F.concat(units(0, F.split("text", "\n")), F.filter(units(1, blocks), lambda u: F.contains(u["content"], F.lit("\n"))), units(2, whole))
-    each = rows.select("doc_id", "path", F.xxhash64("text").alias("body"), F.explode_outer(each).alias("u")).select("doc_id", "path", "body", "u.scope", "u.at", _terms(F.col("u.content")).alias("terms"))
-    shared = F.size(F.array_intersect("terms", known))
-    each = each.filter((shared > 0) & (shared >= threshold * threshold * F.size(F.array_distinct("terms"))))
+    headers = F.filter(F.transform(blocks, lambda x, i: F.struct(x.alias("content"), i.alias("at"))), lambda u: F.contains(u["content"], F.lit("\n")))
+    headers = F.transform(headers, lambda u: F.named_struct(F.lit("scope"), F.lit(1), F.lit("at"), u["at"], F.lit("terms"), _terms(u["content"])))
+    each = F.concat(units(0, F.split("text", "\n")), headers, units(2, whole))
+    each = F.filter(each, lambda u: _within(u["terms"], counts, weight, unseen, threshold))
+    each = rows.select("doc_id", "path", F.xxhash64("text").alias("body"), F.explode_outer(each).alias("u")).filter("u is not null").select("doc_id", "path", "body", "u.*")
     key = ["doc_id", "path", "body", "scope", "at"]
     tokens = materialise(each.select(*key, F.explode("terms").alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf")), "tokens")
     # Both tables are as small as the list of templates.
@@ -235,8 +308,7 @@ units AS (SELECT doc_id, path, 0 AS scope, unnest(range(len(lines))) AS at_, unn
   UNION ALL SELECT * FROM (SELECT doc_id, path, 1, unnest(range(len(blocks))), unnest(blocks) AS content FROM split) WHERE contains(content, chr(10))
   UNION ALL SELECT doc_id, path, 2, 0, text FROM split WHERE len(blocks) > 1),
 termed AS (SELECT doc_id, path, scope, at_, {_SPLIT.format("content")} AS terms FROM units),
-known AS (SELECT * FROM termed WHERE len(list_intersect(terms, (SELECT list(term) FROM vocabulary))) >= 0.49 * len(list_distinct(terms)) AND len(terms) > 0),
-tokens AS (SELECT doc_id, path, scope, at_, term, count(*) AS tf FROM (SELECT doc_id, path, scope, at_, unnest(terms) AS term FROM known) GROUP BY ALL),
+tokens AS (SELECT doc_id, path, scope, at_, term, count(*) AS tf FROM (SELECT doc_id, path, scope, at_, unnest(terms) AS term FROM termed) GROUP BY ALL),
 weighed AS (SELECT k.*, tf * coalesce(w, ln(1.0 + t.n) + 1) AS value FROM tokens k LEFT JOIN weights USING (term) CROSS JOIN total t),
 norms AS (SELECT doc_id, path, scope, at_, sqrt(sum(value * value)) AS norm FROM weighed GROUP BY ALL),
 dots AS (SELECT doc_id, path, scope, at_, name, variant, sum(value * n * w) AS dot FROM weighed JOIN counted USING (term) JOIN weights USING (term) GROUP BY ALL),
