@@ -12,17 +12,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotmark.llm.common import thinned
 
-PATH_DIM, WORD_DIM, MORE = 64, 48, 4  # hashed tag path, hashed words, plain numbers
+PATH_DIM, WORD_DIM, MORE = 64, 48, 8  # hashed tag path, hashed words, plain numbers
 HIDDEN = 20  # of each direction
 SAMPLE = 240  # pages that the fit sees at most
 WINDOW = 120  # blocks in a row, from anywhere in such a page, that it sees at most
 GENERATED = 160  # pages of made-up words that it sees where no page marks its article
 EPOCHS, RATE, BATCH = 8, 0.01, 32
+ROWS, BYTES = 500, 8_000_000  # pages that a task reads together
 CELLS = 60_000  # blocks, with padding, that are labelled together
 
 #: Elements that HTML lays out inside a line, and elements without content or end.
@@ -44,12 +46,14 @@ class Open:
     """An open element: its name and the words of its class, id and role, inside its parent. Depth and hashed path are
     those of its chain without inline elements, computed once, so that deep pages cost no more than flat ones."""
 
-    __slots__ = ("element", "parent", "inline", "linked", "depth", "_hashed")
+    __slots__ = ("element", "parent", "inline", "linked", "depth", "block", "above", "_hashed")
 
     def __init__(self, element: tuple[str, ...], parent: Open | None) -> None:
         self.element, self.parent, self.inline = element, parent, element[0] in INLINE
         self.linked = element[0] == "a" or (parent is not None and parent.linked)
         self.depth = (parent.depth if parent else 0) + (not self.inline)
+        self.above: Open | None = parent.block if parent else None  # the nearest element around it that is not inline
+        self.block: Open | None = self.above if self.inline else self
         self._hashed: np.ndarray | None = None
 
     def hashed(self) -> np.ndarray:
@@ -76,6 +80,22 @@ def opened(path: tuple[tuple[str, ...], ...]) -> Open | None:
     return at
 
 
+def parsed(blocks: list[tuple[tuple[tuple[str, ...], ...], str, int]]) -> list[Block]:
+    """Blocks of (path, text, linked) whose neighbours share the elements that their paths begin with, but for the innermost. An element
+    is one tuple: equal tuples that are not the same object are two elements."""
+    out: list[Block] = []
+    chain: list[Open] = []
+    for path, text, linked in blocks:
+        same = 0
+        while same < min(len(chain) - 1, len(path) - 1) and chain[same].element is path[same]:
+            same += 1
+        del chain[same:]
+        for element in path[same:]:
+            chain.append(Open(element, chain[-1] if chain else None))
+        out.append(Block(text, chain[-1], linked))
+    return out
+
+
 @dataclass
 class Block:
     """A run of text between block elements: its whole text, the element that it is in and how many of its characters are
@@ -187,9 +207,31 @@ def _slot(word: str, size: int) -> tuple[int, float]:
     return (h >> 1) % size, 1.0 if h & 1 else -1.0
 
 
+def _moves(a: Open | None, b: Open | None) -> tuple[int, int]:
+    """How many elements end and begin between two blocks; what all blocks of a page cost is linear in its elements."""
+    ended = begun = 0
+    while a is not b:
+        x, y = a.depth if a else 0, b.depth if b else 0
+        if x >= y:
+            a, ended = a.above if a else None, ended + 1
+        if y >= x:
+            b, begun = b.above if b else None, begun + 1
+    return ended, begun
+
+
 def features(blocks: list[Block]) -> np.ndarray:
+    """A row a block: its hashed tag path and words, its length, links and depth, how many elements end and begin before it, and the
+    words and links of all blocks with the same element around them."""
+    around: dict[int, list[int]] = {}
+    block = [b.within.block if b.within else None for b in blocks]
+    holders = [around.setdefault(id(o.above if o else None), [0, 0, 0]) for o in block]
+    for held, b in zip(holders, blocks, strict=True):
+        held[0] += len(b.text.split())
+        held[1] += b.linked
+        held[2] += len(b.text)
+    last = None
     x = np.zeros((len(blocks), PATH_DIM + WORD_DIM + MORE), dtype=np.float32)
-    for row, b in zip(x, blocks, strict=True):
+    for row, b, own_block, held in zip(x, blocks, block, holders, strict=True):
         if b.within is not None:
             row[:PATH_DIM] = b.within.hashed()
         words = b.text.lower().split()
@@ -198,6 +240,9 @@ def features(blocks: list[Block]) -> np.ndarray:
             row[PATH_DIM + at] += sign
         own = row[PATH_DIM : PATH_DIM + WORD_DIM]
         own /= max(1.0, float(np.sqrt((own * own).sum())))
+        ended, begun = _moves(last, own_block)
+        last = own_block
+        row[-MORE:-4] = min(ended, 8) / 4, min(begun, 8) / 4, np.log1p(held[0]) / 5, min(1.0, held[1] / held[2])
         row[-4:] = np.log1p(len(words)) / 5, min(1.0, b.linked / len(b.text)), (b.within.depth if b.within else 0) / 10, 1.0
     return x
 
@@ -350,7 +395,68 @@ def varied(blocks: list[Block], labels: list[bool], draw: np.random.Generator) -
         elif draw.random() < 0.5:
             out.append((b, False))
     furniture(int(draw.integers(0, 4)), False)
-    return [b for b, _ in out], [label for _, label in out]
+    return parsed([(b.path, b.text, b.linked) for b, _ in out]), [label for _, label in out]
+
+
+def unnamed(blocks: list[Block], labels: list[bool], draw: np.random.Generator) -> tuple[list[Block], list[bool]]:
+    """The page in a dress that no name gives away: containers have made-up class names or none, the page may be laid out as
+    a table, and only words, links, headings, order and where a container ends tell the article from menus before it and
+    reader comments and notices after it."""
+
+    def container(*kinds: str) -> tuple[str, ...]:
+        name = "".join(draw.choice(list("aeiourstlnmdkpb"), int(draw.integers(3, 9))))
+        return (str(draw.choice(kinds)), *((name,) if draw.random() < 0.8 else ()))
+
+    def some(least: int, most: int) -> str:
+        words = blocks[int(draw.integers(len(blocks)))].text.split()
+        first = int(draw.integers(max(1, len(words) - most)))
+        return " ".join(words[first : first + int(draw.integers(least, most + 1))]) or words[0]
+
+    tabular = draw.random() < 0.3
+    root: tuple[tuple[str, ...], ...] = (("html",), ("body",))
+    if draw.random() < 0.4:
+        root = (*root, container("div"))
+    if tabular:
+        root = (*root, ("table",), *((("tbody",),) if draw.random() < 0.5 else ()), ("tr",))
+    inside = lambda: (*root, container("td")) if tabular else (*root, container("div", "div", "section"))
+    out: list[tuple[Block, bool]] = []
+
+    def add(path: tuple[tuple[str, ...], ...], text: str, linked: bool) -> None:
+        out.append((Block(text, opened(path), len(text) if linked else 0), False))
+
+    def menu() -> None:
+        own, item = inside(), str(draw.choice(["li", "li", "div", "td", "span"]))
+        for _ in range(int(draw.integers(2, 8))):
+            add((*own, ("ul",), ("li",)) if item == "li" else own if item == "span" else (*own, (item,)), some(1, 3), draw.random() < 0.9)
+
+    def notice() -> None:
+        own = inside()
+        for _ in range(int(draw.integers(1, 3))):
+            add((*own, ("p",)) if draw.random() < 0.5 else own, some(3, 18), draw.random() < 0.2)
+
+    def comments() -> None:
+        own, each = inside(), container("div", "div", "li", "section")
+        if draw.random() < 0.6:
+            add((*own, (str(draw.choice(["h2", "h3", "h4"])),)), some(1, 3), False)
+        for _ in range(int(draw.integers(1, 6))):
+            one = tuple(list(each))  # each comment is an element of its own
+            if draw.random() < 0.6:
+                add((*own, one, (str(draw.choice(["div", "h4", "p", "cite"])),)), f"{some(1, 2)} {draw.choice(['says', 'wrote', 'replied', ''])} {int(draw.integers(1, 60))}".strip(), draw.random() < 0.3)
+            add((*own, one, ("p",)) if draw.random() < 0.8 else (*own, one), some(3, 40), False)
+
+    for part in (menu, notice, menu):
+        if draw.random() < 0.6:
+            part()
+    article, cell = inside(), tabular and draw.random() < 0.5
+    for b, label in zip(blocks, labels, strict=True):
+        if label:
+            path = b.path
+            inner = path[max((i + 1 for i, x in enumerate(path) if x[0] in ("article", "main")), default=len(path) - 1) :]
+            out.append((Block(b.text, opened((*article, *(() if cell and inner and inner[-1][0] == "p" else inner))), b.linked), True))
+    for part in (comments, notice, menu, notice):
+        if draw.random() < 0.5:
+            part()
+    return parsed([(b.path, b.text, b.linked) for b, _ in out]), [label for _, label in out]
 
 
 def generated(draw: np.random.Generator) -> tuple[list[Block], list[bool]]:
@@ -362,18 +468,18 @@ def generated(draw: np.random.Generator) -> tuple[list[Block], list[bool]]:
     text = [words(int(draw.integers(2, 9)))] + [words(int(draw.integers(8, 60))) for _ in range(int(draw.integers(1, 8)))]
     kinds = ["h1", *str(draw.choice(["p", "p", "p", "div", "li"])).split() * (len(text) - 1)]
     blocks = [Block(t, opened((("html",), ("body",), ("article",), (k,))), 0) for t, k in zip(text, kinds, strict=True)]
-    return varied(blocks, [True] * len(blocks), draw)
+    return (varied if draw.random() < 0.6 else unnamed)(blocks, [True] * len(blocks), draw)
 
 
 def fit_labeller(pages: DataFrame, sample: int = SAMPLE, id_col: str = "page_id", html_col: str = "html") -> BlockLabeller:
     """Fit the labeller to at most ``sample`` pages (by the hash of their ids) that mark their article, each as it is
-    and in two other dresses; the weak labels come from that markup. Of a page of more than ``WINDOW`` blocks it sees so
+    and in two other dresses, one of common names and one of made-up ones; the weak labels come from that markup. Of a page of more than ``WINDOW`` blocks it sees so
     many in a row, from anywhere in it: at most 3 times ``sample`` times ``WINDOW`` labelled blocks and the furniture of
     the dresses.
 
     Where no page marks its article (or there is no page at all) it learns from dresses alone: ``GENERATED`` pages of
     made-up words, and the paragraphs of the sampled pages (eight words or more, mostly outside links), put into elements
-    that are common for articles and surrounded by common furniture.
+    that are common for articles and surrounded by common furniture, or into those of made-up names.
     """
     low = F.lower(html_col)
     shows = F.contains(low, F.lit("<article")) | F.contains(low, F.lit("<main")) | F.contains(low, F.lit("articlebody"))
@@ -393,18 +499,31 @@ def fit_labeller(pages: DataFrame, sample: int = SAMPLE, id_col: str = "page_id"
     for r in drawn(pages.filter(shows)):
         if blocks := some_of(r["html"]):
             labels = [teacher(b.path) for b in blocks]
-            known += [(blocks, labels), varied(blocks, labels, draw), varied(blocks, labels, draw)]
+            known += [(blocks, labels), varied(blocks, labels, draw), unnamed(blocks, labels, draw)]
     if not any(any(labels) for _, labels in known):
         known = [generated(draw) for _ in range(GENERATED)]
         for r in drawn(pages):
             prose = [b for b in some_of(r["html"]) if len(b.text.split()) >= 8 and b.linked < 0.3 * len(b.text)]
             if prose:
-                known += [varied(prose, [True] * len(prose), draw) for _ in range(2)]
+                known += [dress(prose, [True] * len(prose), draw) for dress in (varied, unnamed)]
     labeller = BlockLabeller()
     labeller.fit([(features(blocks), np.array(labels)) for blocks, labels in known if blocks])
     return labeller
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows that together hold at most ``ROWS`` pages and ``BYTES`` bytes, or one page."""
+    sizes = [n or 0 for n in pc.binary_length(batch.column(1)).to_pylist()]
+    first = held = 0
+    for i, n in enumerate(sizes):
+        if i > first and (i - first == ROWS or held + n > BYTES):
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += n
+    if sizes:
+        yield batch.slice(first)
+
+
 def main_text(pages: DataFrame, labeller: BlockLabeller, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Per page: page_id, n_blocks, n_kept and text: the blocks that are labelled as the article, in page order, joined by
     one space. Every block of the whole page is read, however long or malformed it is (see ``blocks_of``); null html is
@@ -414,7 +533,7 @@ def main_text(pages: DataFrame, labeller: BlockLabeller, id_col: str = "page_id"
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+            for b in _slices(batch):
                 blocks = [blocks_of(h) for h in b.column(1).to_pylist()]
                 labels = held.value.label([features(x) for x in blocks])
                 kept = [[x.text for x, y in zip(own, label, strict=True) if y] for own, label in zip(blocks, labels, strict=True)]
