@@ -8,6 +8,7 @@ encoded once, and the ids joined.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 import unicodedata
@@ -30,6 +31,13 @@ _WIDE = r"[^\x00-\x{ff}]"
 CACHE_WORDS, CACHE_OFFSETS = 400_000, 120_000  # words that a worker keeps before it begins afresh, without and with offsets
 JOINED, JOIN_CHARS = 200, 64  # new words that are encoded as one text, and the longest of them
 BATCH_BYTES, BATCH_OFFSETS = 4_000_000, 1_500_000  # of texts that are encoded together, without and with offsets
+#: Lower-case letters of Latin-1, which normal form and lower case leave alone, and marks of ASCII but the apostrophe.
+_LETTERS, _MARKS = r"[a-z\x{df}-\x{f6}\x{f8}-\x{ff}]", r"[!-&(-/:-@\[-`{-~]"
+_SIMPLE, _STEM = rf"\A{_LETTERS}+{_MARKS}*\z", rf"\A({_LETTERS}+)({_MARKS}+)\z"
+#: The steps of a tokenizer of which it is known that the letters and the marks of such a word are one match each.
+_NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_MATCHES = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
 
 def text_batches(texts: pa.Array, size: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
@@ -52,6 +60,51 @@ def words_of(text: str) -> list[str]:
     return _RUNS.findall(text) if " ".join(common.split()) == " ".join(filter(None, common.split(" "))) else [text]
 
 
+class SimpleWords:
+    """Ids of words of letters, and maybe marks after them, by the model of a tokenizer alone: such words need no normal form,
+    and each of their matches ends with an id whose token has the suffix of ends."""
+
+    def __init__(self, tokenizer) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        suffix = tokenizer.model.end_of_word_suffix
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.bare = Tokenizer(tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        self.shown = {i: c for i, c in enumerate(byte_chars()) if i != ord(" ")}
+
+    @staticmethod
+    def fit(tokenizer, added: list[str]) -> bool:
+        """Whether ``tokenizer`` is of the kind for which this gives its ids."""
+        from tokenizers import models
+
+        model = tokenizer.model
+        if not isinstance(model, models.BPE) or not model.end_of_word_suffix or model.continuing_subword_prefix or model.dropout:
+            return False
+        if tokenizer.normalizer is None or tokenizer.pre_tokenizer is None or tokenizer.truncation or tokenizer.padding:
+            return False
+        steps = [json.loads(x.__getstate__()) for x in (tokenizer.normalizer, tokenizer.pre_tokenizer)]
+        if steps != [_NORMAL, {"type": "Sequence", "pretokenizers": [_MATCHES, _BYTES]}]:
+            return False
+        known = tokenizer.get_vocab(with_added_tokens=False)
+        whole = all(c in known and c + model.end_of_word_suffix in known for c in byte_chars())
+        part = re.compile(re.sub(r"\\x{(..)}", r"\\x\1", f"{_LETTERS}*{_MARKS}*"), re.IGNORECASE)
+        return whole and not any(part.fullmatch(a) for a in added)
+
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, how many each has); all match ``_SIMPLE``."""
+        parted = pc.replace_substring_regex(words, _STEM, r"\1 \2")
+        matches = 1 + pc.count_substring(parted, " ").to_numpy(zero_copy_only=False)
+        cuts = pa.array(np.append(np.arange(0, len(words), JOINED), len(words)).astype(np.int32))
+        texts = pc.binary_join(pa.ListArray.from_arrays(cuts, parted), " ").to_pylist()
+        got = self.bare.encode_batch_fast([t.encode().decode("latin-1").translate(self.shown) for t in texts], add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, np.int32), *(np.array(e.ids, dtype=np.int32) for e in got)])
+        last = np.flatnonzero(self.ends[ids])[np.cumsum(matches) - 1]
+        return ids, np.diff(last, prepend=-1).astype(np.int32)
+
+
 class WordEncoder:
     """Encodes texts by way of their distinct words, whose ids (and offsets) are held in flat arrays."""
 
@@ -63,6 +116,7 @@ class WordEncoder:
         added = [] if tokenizer.encode_special_tokens else [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         #: Texts with such a string, in any case, are encoded whole.
         self.special = "(?i)" + "|".join(re.escape(a) for a in added) if added else None
+        self.simple = SimpleWords(tokenizer) if bare and SimpleWords.fit(tokenizer, added) else None
         self._forget()
         if bare and self._encoded(["Ab.\n c  D"])[0][0].tolist() != np.concatenate(self._encoded(["ab", ".", "c", "d"])[0]).tolist():
             raise ValueError("this tokenizer keeps case or white space")
@@ -89,6 +143,7 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.index: dict[str, int] = {}
+        self.simple_words, self.simple_at = pa.array([], pa.string()), np.zeros(0, np.int64)
         self.counts, self.ids, self.spans = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros((0, 2), np.int32)
 
     def _encoded(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -141,16 +196,40 @@ class WordEncoder:
         if self.offsets:
             self.spans = np.concatenate([self.spans, *spans, *more_spans])
 
+    def _places(self, distinct: pa.Array) -> np.ndarray:
+        """The place of each of these words; new ones are learnt. Simple ones are never Python's strings."""
+        if self.simple is None:
+            return self._indexed(distinct)
+        distinct = distinct.cast(pa.string())  # Spark may hand over large strings
+        simple = pc.match_substring_regex(distinct, _SIMPLE)
+        mask = simple.to_numpy(zero_copy_only=False)
+        at = np.zeros(len(distinct), np.int64)
+        at[~mask] = self._indexed(distinct.filter(pc.invert(simple)))
+        own = distinct.filter(simple)
+        place = pc.index_in(own, self.simple_words)
+        new = own.filter(pc.is_null(place))
+        if len(new):
+            ids, counts = self.simple.encode(new)
+            self.simple_at = np.append(self.simple_at, len(self.counts) + np.arange(len(new)))
+            self.counts, self.ids = np.concatenate([self.counts, counts]), np.concatenate([self.ids, ids])
+        place = place.fill_null(-1).to_numpy(zero_copy_only=False)
+        at[mask] = self.simple_at[np.where(place < 0, len(self.simple_words) - 1 + np.cumsum(place < 0), place)]
+        self.simple_words = pa.concat_arrays([self.simple_words, new])
+        return at
+
+    def _indexed(self, distinct: pa.Array) -> np.ndarray:
+        words = distinct.to_pylist()
+        self._learn(set(words).difference(self.index))
+        return np.array([self.index[w] for w in words], dtype=np.int64)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         """(ids of all texts, how many each text has, offsets or None); offsets are pairs of code points, start and end."""
         words = self._cut(texts)
         found = words.flatten().dictionary_encode()
-        distinct = found.dictionary.to_pylist()
         most = CACHE_OFFSETS if self.offsets else CACHE_WORDS
-        if len(self.index) > most or len(self.ids) > 8 * most:
+        if len(self.index) + len(self.simple_words) > most or len(self.ids) > 8 * most:
             self._forget()
-        self._learn(set(distinct).difference(self.index))
-        at = np.array([self.index[w] for w in distinct], dtype=np.int64)[found.indices.to_numpy()]
+        at = self._places(found.dictionary)[found.indices.to_numpy()]
         per_words = pc.list_value_length(words).to_numpy(zero_copy_only=False)
         counts = self.counts[at]
         first = np.cumsum(counts, dtype=np.int64) - counts  # of each word's ids in the result

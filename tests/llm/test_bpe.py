@@ -7,6 +7,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
+from tokenizers.normalizers import NFD, Lowercase, Sequence, StripAccents
 
 from plotmark.llm import bpe
 
@@ -74,3 +75,55 @@ def test_op6_against_tiktoken(spark):
 @pytest.mark.parametrize("text", ["", " ", "\n\n", "a  b", " lead", "trail ", "a \n\nb"])
 def test_white_space(text):
     assert one(bpe.WordEncoder(bpe.byte_tokenizer(PATH, public_tokenizers.PATTERN), offsets=True), text)[0] == PLAIN.encode_ordinary(text)
+
+
+LETTERS = "abzßàöøþÿ÷×ªºµAZÀ"
+WORDS = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+MARKS = ".,;:!?&*%$#()[]{}<>|/\\_-~`^@+=\""
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.text(LETTERS, max_size=9), st.text(MARKS + "'’1é́", max_size=3)).map("".join), max_size=9).map(" ".join), min_size=1, max_size=4))
+def test_simple_words_give_the_ids_of_the_plain_call(texts):
+    encoder = bpe.WordEncoder(WORDS, bare=True)
+    for some, kind in ((texts[:1], pa.string()), (texts, pa.large_string()), (texts[::-1], pa.string())):  # new words, some known, all known
+        ids, counts, _ = encoder.encode(pa.array(some, kind))
+        want = [e.ids for e in WORDS.encode_batch(some, add_special_tokens=False)]
+        assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+class Counted:
+    """A tokenizer that counts the characters that go through all of its steps."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.chars = tokenizer, 0
+
+    def __getattr__(self, name):
+        return getattr(self.tokenizer, name)
+
+    def encode_batch(self, texts, **options):
+        self.chars += sum(map(len, texts))
+        return self.tokenizer.encode_batch(texts, **options)
+
+
+def test_simple_words_need_the_model_alone():
+    t = Counted(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")))
+    encoder = bpe.WordEncoder(t, bare=True)
+    t.chars = 0
+    texts = [" ".join(f"{'Straße' * (i % 7 + 1)}{'abcdefgh'[i % 8]}{'xyz'[i % 3]}{mark}" for i in range(500)) for mark in ("", ".", "&&&")]
+    ids, counts, _ = encoder.encode(pa.array(texts))
+    assert t.chars == 0  # all of them before
+    want = [e.ids for e in t.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_the_model_alone_is_for_known_steps_only():
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert bpe.SimpleWords.fit(t, ["<|endoftext|>"]) and not bpe.SimpleWords.fit(t, ["<|endoftext|>", "Hello"])
+    t.normalizer = Sequence([NFD(), StripAccents(), Lowercase()])
+    assert not bpe.SimpleWords.fit(t, [])
+    encoder = bpe.WordEncoder(t, bare=True)
+    texts = ["straße été. über&&& plain", "naïve"]
+    ids, counts, _ = encoder.encode(pa.array(texts))
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
