@@ -56,3 +56,16 @@ def test_a_sound_index_passes_the_audit(spark):
     assert sorted(r.rule for r in broken.collect()) == ["gap in ordinals", "missing value", "unknown state", "wrong dimension"]
     shared = docs.union(spark.createDataFrame([("e", "a", "u/", 1), ("f", "a", "u_", 1)], docs.schema))
     assert {r.rule for r in audit.orphans(docs, shared, chunks, vectors).collect()} == {"shared storage path"}
+
+
+def test_percentiles_of_a_large_group_are_exact(spark):
+    n = 200_000
+    log = spark.range(n).select(F.lit("a").alias("address_id"), F.lit("m").alias("model_id"), (F.col("id") * 7919 % 200_003).cast("int").alias("latency_ms"), F.lit(2).alias("candidates_examined"), F.lit(1).alias("chunks_returned"), F.lit(0.5).cast("decimal(12,6)").alias("cost_usd"))
+    unknown = log.limit(3).withColumn("latency_ms", F.lit(None).cast("int"))
+    other = log.limit(2).withColumns({"address_id": F.lit("b"), "latency_ms": F.lit(None).cast("int")})
+    got = {r.address_id: r for r in status.query_metrics(log.unionByName(unknown).unionByName(other)).collect()}
+    values = sorted(i * 7919 % 200_003 for i in range(n))
+    a, b = got["a"], got["b"]
+    assert a.p95_latency_ms == values[n * 95 // 100 - 1] and abs(a.avg_latency_ms - sum(values) / n) < 1e-6
+    assert (a.queries, a.candidates_examined, a.chunks_returned, float(a.cost_usd)) == (n + 3, 2 * n + 6, n + 3, n / 2 + 1.5)
+    assert (b.queries, b.avg_latency_ms, b.p95_latency_ms) == (2, None, None)
