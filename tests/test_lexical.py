@@ -77,3 +77,14 @@ def test_kinds_of_words(spark, text, words):
 def test_kinds_leave_plain_prose_as_it_is(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.regexp_replace("text", "[^\\p{L}\\n ]", " ").alias("t"))
     assert docs.filter(lexical.words(F.col("t"), kinds=True) != lexical.words(F.col("t"))).count() == 0 < docs.count()
+
+
+def test_lexemes_of_unique_ids_need_no_shuffle(spark):
+    texts = spark.createDataFrame([("c1", "cat a CAT, doings of the cats"), ("c2", None), ("c3", ""), ("c1", "a")], "chunk_id string, text string")
+    for config in lexical.CONFIGS:
+        own, merged = lexical.lexemes(texts, config, merged=False), lexical.lexemes(texts, config)
+        assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
+        rows = sorted((r.chunk_id, r.lexeme, tuple(r.positions)) for r in own.collect())
+        assert [r for r in rows if r[1] == "cat"] == [("c1", "cat", {"english": (1, 3, 7)}.get(config, (1, 3)))]
+        assert (rows.count(("c1", "a", (1,))), rows.count(("c1", "a", (2,)))) == ((1, 1) if config == "simple" else (0, 0)) and {r[0] for r in rows} == {"c1"}
+        assert ({(r.chunk_id, r.lexeme): r.positions for r in merged.collect()}.get(("c1", "a")) == [1, 2]) == (config == "simple")
