@@ -88,3 +88,13 @@ def test_lexemes_of_unique_ids_need_no_shuffle(spark):
         assert [r for r in rows if r[1] == "cat"] == [("c1", "cat", {"english": (1, 3, 7)}.get(config, (1, 3)))]
         assert (rows.count(("c1", "a", (1,))), rows.count(("c1", "a", (2,)))) == ((1, 1) if config == "simple" else (0, 0)) and {r[0] for r in rows} == {"c1"}
         assert ({(r.chunk_id, r.lexeme): r.positions for r in merged.collect()}.get(("c1", "a")) == [1, 2]) == (config == "simple")
+
+
+def test_postings_are_not_dealt_out_for_a_few_queries(spark):
+    texts = spark.range(300).select(F.concat(F.lit("c"), "id").alias("chunk_id"), F.lit("a").alias("address_id"), F.concat(F.lit("tall house "), "id").alias("text"))
+    queries = spark.createDataFrame([("q1", "a", "house tall"), ("q2", "a", "house 7")], "query_id string, address_id string, query_text string")
+    own = lexical.lexemes(texts.union(texts.filter("chunk_id = 'c7'")), "simple", ("chunk_id", "address_id"), merged=False)  # c7 twice
+    found = lexical.match_all(own, lexical.query_lexemes(queries, "simple"))
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.query_id, r.chunk_id): len(r.hits) for r in found.collect()}
+    assert len(got) == 301 and got["q2", "c7"] == got["q1", "c7"] == 4 and got["q1", "c8"] == 2
