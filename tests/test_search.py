@@ -94,3 +94,18 @@ def test_only_live_versions(spark):
     chunks = spark.createDataFrame([("c1", "d", 1), ("c2", "d", 2), ("c3", "e", 0), ("c4", "x", 1)], "chunk_id string, document_id string, doc_version int")
     docs = spark.createDataFrame([("d", 2), ("e", 0)], "document_id string, live_version int")
     assert [r.chunk_id for r in search.live_chunks(chunks, docs).collect()] == ["c2"]
+
+
+def test_search_skips_past_versions_and_orphans_without_dealing_out_vectors(spark):
+    chunks = spark.createDataFrame([(f"c{i}", "d" if i < 4 else "e", "a", 1 + (i == 3), i, 1, 0, "tall house") for i in range(6)], "chunk_id string, document_id string, address_id string, doc_version int, ordinal int, page_number int, paragraph_index int, text string")
+    docs = spark.createDataFrame([("d", 1, "d.txt", "s"), ("e", 1, "e.txt", "s")], "document_id string, live_version int, original_name string, storage_ref string")
+    vectors = spark.createDataFrame([(f"c{i}", "a", "m", 1, [1.0, float(i)]) for i in (1, 2, 3, 4, 7)] + [("c5", "a", "m", 1, None), (None, "a", "m", 1, [1.0, 0.0])], "chunk_id string, address_id string, model_id string, dim int, embedding array<float>")
+    alive = search.live_embeddings(vectors, chunks, docs)
+    assert sorted(r.chunk_id for r in alive.collect()) == ["c1", "c2", "c4", "c5"]
+    assert "Exchange hashpartitioning" not in alive._jdf.queryExecution().executedPlan().toString()
+    postings = spark.createDataFrame([(f"c{i}", "a", x, [at]) for i in (0, 1, 3, 9) for x, at in (("tall", 1), ("house", 2))], "chunk_id string, address_id string, lexeme string, positions array<int>")
+    asked = spark.createDataFrame([("q", "a", "tall house", 8, [1.0, 0.0])], "query_id string, address_id string, query_text string, k int, vector array<float>")
+    got = search.hybrid_search(asked, chunks, docs, vectors, postings, "simple").orderBy("rank").collect()
+    assert [(r.citation.chunk_id, r.model_id) for r in got] == [("c1", "m"), ("c0", ""), ("c2", "m"), ("c4", "m")]
+    _, log, _ = search.query_job(asked.drop("vector"), chunks, docs, vectors, postings, lambda q: q.select("query_id", F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>").alias("vector")), "m", F.lit(None).cast("timestamp"), "simple")
+    assert [(r.candidates_examined, r.chunks_returned) for r in log.collect()] == [(4, 4)]
